@@ -3,8 +3,8 @@
 The kernel of two strings sums, over their subsequences of three and four bytes that span at most six,
 lambda to the power of both spans: "i.d.i.o.t" and "idixot" still share most of what they have with
 "idiot". A string is a blank-separated token, lower-cased, with its ends marked and its outer
-punctuation cut off; single letters with a blank between them count as one token, and tokens of more
-than PIECE bytes are cut in overlapping pieces.
+punctuation cut off; a character put between two letters, or a blank between single ones, is dropped,
+and tokens of more than PIECE bytes are cut in overlapping pieces.
 
 Landmarks are tokens of labelled sentences: those that set toxic documents apart, and the clean ones
 most like them. A token's Nystroem features are its kernels with the landmarks, whitened. As only whole
@@ -36,34 +36,44 @@ from pyspark.sql import functions as F
 from .kernel import BLANK_SPLIT, LOWER, Words, blocks
 
 SAMPLE_TOXIC = 1500
-SAMPLE_CLEAN = 2500
+SAMPLE_CLEAN = 6000
 LANDMARKS = 160
 ROUNDS = 3
 LAMBDA = 0.6
 BITS = 16
 PIECE = 44
 #: Places of a subsequence's letters after its first, and its span.
-SHAPES = [(a, b) for b in range(2, 6) for a in range(1, b)] + [(a, b, c) for c in range(3, 6) for b in range(2, c) for a in range(1, b)]
+SHAPES = [(a, b) for b in range(2, 6) for a in range(1, b)] + [(a, b, c) for c in range(3, 6) for b in range(2, c) for a in range(1, b)] + [(2, 4, 6)]
 _CODES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, (4, 256), dtype=np.uint64).astype(np.uint32)
 _ALNUM = np.ones(256, dtype=bool)
 _ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
 
 
+#: Blanks part words.
+BLANK_BYTES = ~BLANK_SPLIT
+
+
 class Tokens:
     """The distinct tokens of a block as a padded byte table, and where each stands."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
         letter = _ALNUM[data]
-        if len(data) > 4:  # join "i d i o t"
+        if len(data) > 4:  # "i d i o t" and "i.d-iot" lose what was put between their letters
+            drop = np.zeros(len(data), dtype=bool)
+            drop[1:-1] = ~letter[1:-1] & letter[:-2] & letter[2:]
             lone = np.zeros(len(data), dtype=bool)
             lone[1:-1] = letter[1:-1] & ~letter[:-2] & ~letter[2:]
             lone[0], lone[-1] = letter[0] & ~letter[1], letter[-1] & ~letter[-2]
-            blank = np.zeros(len(data), dtype=bool)
-            blank[1:-1] = (data[1:-1] == 32) & lone[:-2] & lone[2:]
-            edge = np.minimum(offsets[1:-1], len(data) - 1)
-            blank[edge] = False
-            data = np.where(blank, np.uint8(0x2E), data)
+            between = np.zeros(len(data), dtype=bool)
+            between[1:-1] = lone[:-2] & lone[2:]
+            drop &= between | ~BLANK_BYTES[data]
+            inner = offsets[1:-1]
+            drop[inner[inner < len(data)]] = False
+            drop[np.maximum(inner - 1, 0)] = False
+            data = data[~drop]
+            offsets = offsets - np.concatenate([[0], np.cumsum(drop)])[offsets]
+            letter = _ALNUM[data]
         words = Words(data, offsets, BLANK_SPLIT)
         at = np.flatnonzero(letter)
         if not len(at):
@@ -165,6 +175,10 @@ def cells_of(tokens: Tokens, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def data_of(tokens: Tokens, row: int) -> bytes:
+    return tokens.data[tokens.start[row] : tokens.end[row]].tobytes()
+
+
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Squared-hinge machine with a bias, by Newton steps on the rows inside the margin."""
     x = np.c_[x, np.ones(len(x))]
@@ -214,12 +228,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(data, offsets) + self.offset, -30, 30)))
 
 
+def disguised(words: list[bytes]) -> list[bytes]:
+    """Spellings with characters put in, of words long enough to be told apart."""
+    out = []
+    for w in words:
+        if 4 <= len(w) <= 12 and w.isalpha():
+            out += [b".".join(w[i : i + 1] for i in range(len(w)))]
+            out += [w[:i] + x + w[i:] for i, x in ((2, b"-"), (len(w) // 2, b"."), (len(w) // 2, b"x"), (len(w) - 1, b"*"), (2, w[1:2]))]
+    return sorted(set(out))
+
+
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
-    """Fits on labelled texts; deterministic."""
+    """Fits on labelled texts; deterministic. The curve is fitted with a third of the texts that the machine never saw."""
     y = np.array(toxic)
-    if not len(y) or not y.any() or y.all():
+    seen = np.arange(len(y)) % 3 > 0
+    if len(y) < 2 or not y[seen].any() or y[seen].all():
         return Model(None)
-    (_, _, data, offsets), = blocks(pa.array(texts), 1 << 40)
+    ((_, _, data, offsets),) = blocks(pa.array([t for t, own in zip(texts, seen, strict=True) if own]), 1 << 40)
+    every = list(blocks(pa.array(texts), 1 << 22))
+    all_y, y = y, y[seen]
     tokens = Tokens(data, offsets)
     one, back = tokens.distinct()
     pair = np.unique(tokens.doc * np.int64(len(one)) + back)
@@ -245,11 +272,15 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     whiten = vector[:, good] / np.sqrt(value[good])
     wrong = np.unique(np.r_[hard[:6000], rest[:6000]])
     right = np.unique(np.r_[seeds, np.flatnonzero((in_toxic >= 3) & (in_clean == 0))])
+    variants = disguised([data_of(tokens, one[i]) for i in seeds])
+    extra = np.frombuffer(b" ".join(variants), dtype=np.uint8)
+    more = Tokens(extra, np.array([0, len(extra)]))
+    x_more = kernels(more, np.arange(len(more.start)), cells) @ whiten
     for _ in range(rounds):
         rows = np.r_[right, wrong]
-        x = kernels(tokens, one[rows], cells) @ whiten
-        target = np.r_[np.ones(len(right)), -np.ones(len(wrong))]
-        cost = np.r_[in_toxic[right].astype(float), in_clean[wrong].astype(float)] ** 0.5
+        x = np.r_[kernels(tokens, one[rows], cells) @ whiten, x_more]
+        target = np.r_[np.ones(len(right)), -np.ones(len(wrong)), np.ones(len(x_more))]
+        cost = np.r_[np.r_[in_toxic[right].astype(float), in_clean[wrong].astype(float)] ** 0.5, np.ones(len(x_more))]
         w = svm(x, target, cost)
         model = Model((cells @ (whiten @ w[:-1])).astype(np.float32), float(w[-1]))
         g = margins(tokens, one, model.table) + model.bias
@@ -267,8 +298,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         wrong = np.unique(np.r_[wrong, worst])
         if not len(right):
             right = seeds
-    worst_of = model.worst(data, offsets)
-    model.slope, model.offset = logistic(worst_of, y.astype(float))
+    worst_of = np.concatenate([model.worst(d, o) for _, _, d, o in every])
+    model.slope, model.offset = logistic(worst_of, all_y.astype(float))
     return model
 
 

@@ -27,7 +27,7 @@ from .kernel import BLANK_SPLIT, Hasher, Words, blocks, ragged
 
 VOCABULARY = os.environ.get("REMORA_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 SYMBOLS = b"#*$%&|<>"
-REACH = 1.5
+REACH = 0.75
 GRID = 200
 MIN_WORDS = 50
 #: Words whose tokens a task remembers at most.
