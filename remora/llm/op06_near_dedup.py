@@ -9,8 +9,8 @@ the earliest of each coordinate makes up the signature. Documents that leave a c
 throw on to twice the rank.
 
 Signatures are cut in bands; documents that share a band are candidates. Within a band's bucket, ordered
-by the next band, every document is paired with the bucket's first and with the next `near` ones (all
-pairs of a small bucket, a bounded number of a large one's), pairs are dropped whose signatures agree
+by the next band, every document is paired with the bucket's first and with the next ones (all pairs of
+a small bucket, a bounded number of a large one's, where the order sets alike ones side by side), pairs are dropped whose signatures agree
 far too little, and the rest are verified by the exact Jaccard similarity of their shingle sets.
 Equal texts are merged first, so a group of copies takes part once.
 
@@ -39,7 +39,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Pairs whose signatures agree in less than this share cannot reach SIMILARITY (over 4 standard deviations off).
 LOOSE = 0.58
+#: In a bucket's order, the first NEAR + 1 are paired with the next NEAR; those after them with the first of all and the next FEW.
 NEAR = 15
+FEW = 4
 
 SIGNATURES = "k long, t1 long, t2 long, n long, sig binary"
 
@@ -164,7 +166,7 @@ def jaccard(n: int, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int = SHINGLE, similarity: float = SIMILARITY, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int = SHINGLE, similarity: float = SIMILARITY, near: int = NEAR, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(_k, rep, root) of each row of keyed docs, and the verified pairs (a, b, similarity) of representatives."""
     plain = docs.select("_k", "text")
     signed = written(arrow_map(plain, emit_signatures(k, shingle), SIGNATURES), "signatures")
@@ -177,6 +179,9 @@ def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int
     order = Window.partitionBy("bucket").orderBy("next", "k")
     ahead = F.collect_list("k").over(order.rowsBetween(1, near))
     first = F.first("k").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # each of the bucket's first rows meets all of them, so a small bucket has all its pairs
+    place = F.row_number().over(order)
+    ahead = F.when(place <= near + 1, ahead).otherwise(F.slice(ahead, 1, few))
     pairs = buckets.select("k", ahead.alias("ahead"), first.alias("first"))
     pairs = pairs.select("k", F.explode(F.array_union("ahead", F.array("first"))).alias("o")).filter("k <> o")
     pairs = pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
