@@ -179,6 +179,24 @@ def data_of(tokens: Tokens, row: int) -> bytes:
     return tokens.data[tokens.start[row] : tokens.end[row]].tobytes()
 
 
+def vocabulary(texts: list[str]) -> tuple[Tokens, np.ndarray]:
+    """The distinct tokens of the texts, and document * their number + token for each that a document holds."""
+    place: dict[bytes, int] = {}
+    docs, ids = [], []
+    for i, _, data, offsets in blocks(pa.array(texts)):
+        tokens = Tokens(data, offsets)
+        one, back = tokens.distinct()
+        own = np.array([place.setdefault(data_of(tokens, r), len(place)) for r in one], dtype=np.int64)
+        docs.append(tokens.doc + i)
+        ids.append(own[back] if len(one) else np.zeros(0, np.int64))
+    out = Tokens.__new__(Tokens)
+    out.data = np.frombuffer(b" ".join(place) + b" ", dtype=np.uint8)
+    size = np.array([len(t) for t in place], dtype=np.int64)
+    out.start = np.cumsum(size + 1) - size - 1
+    out.end, out.doc = out.start + size, np.zeros(len(size), np.int64)
+    return out, np.unique(np.concatenate(docs) * max(1, len(place)) + np.concatenate(ids))
+
+
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Squared-hinge machine with a bias, by Newton steps on the rows inside the margin."""
     x = np.c_[x, np.ones(len(x))]
@@ -244,13 +262,12 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     seen = np.arange(len(y)) % 3 > 0
     if len(y) < 2 or not y[seen].any() or y[seen].all():
         return Model(None)
-    ((_, _, data, offsets),) = blocks(pa.array([t for t, own in zip(texts, seen, strict=True) if own]), 1 << 40)
-    every = list(blocks(pa.array(texts), 1 << 22))
     all_y, y = y, y[seen]
-    tokens = Tokens(data, offsets)
-    one, back = tokens.distinct()
-    pair = np.unique(tokens.doc * np.int64(len(one)) + back)
-    doc, token = pair // len(one), pair % len(one)
+    tokens, pair = vocabulary([t for t, own in zip(texts, seen, strict=True) if own])
+    one = np.arange(len(tokens.start))
+    doc, token = pair // max(1, len(one)), pair % max(1, len(one))
+    if not len(one):
+        return Model(None)
     in_toxic = np.bincount(token[y[doc] > 0], minlength=len(one))
     in_clean = np.bincount(token[y[doc] == 0], minlength=len(one))
     ratio = y.sum() / (len(y) - y.sum())
@@ -298,7 +315,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         wrong = np.unique(np.r_[wrong, worst])
         if not len(right):
             right = seeds
-    worst_of = np.concatenate([model.worst(d, o) for _, _, d, o in every])
+    worst_of = np.concatenate([model.worst(d, o) for _, _, d, o in blocks(pa.array(texts))])
     model.slope, model.offset = logistic(worst_of, all_y.astype(float))
     return model
 
@@ -309,8 +326,17 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clea
     rows = rows.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("at", F.md5(F.col("doc_id").cast("string")))
     parts = [rows.filter(F.col("toxic") == t).orderBy("at", "doc_id").limit(n) for t, n in ((1, toxic_rows), (0, clean_rows))]
     few = F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", "toxic"))  # at most toxic_rows + clean_rows
-    found = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
-    return train([r["text"] or "" for r in found], [int(r["toxic"]) for r in found])
+    found = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        m = train([t or "" for _, t, _ in rows], [y for _, _, y in rows])
+        table = None if m.table is None else m.table.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([table], type=pa.binary()), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.offset])], names=["t", "bias", "slope", "offset"])
+
+    # one task fits the bounded sample; the driver gets the finished table
+    row = found.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(fitted, "t binary, bias double, slope double, offset double").first()
+    return Model(None if row["t"] is None else np.frombuffer(bytes(row["t"]), dtype=np.float32), row["bias"], row["slope"], row["offset"])
 
 
 def score_column(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
