@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by pointer jumping over tables in the shared folder."""
+"""Connected components of an edge table, by pointer jumping over tables in the shared folder; edges come from such a table."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks a node's root on the smallest root next to it and then jumps to the root's root,
     so that chains shorten by half. Only a count of changes reaches the driver.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = written(both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("n")).select("k", F.least("k", "n").alias("root")), "roots")
     while True:
         near = both.join(roots.select(F.col("k").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("k")).agg(F.min("near").alias("near"))
@@ -28,5 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         drop_written(roots)
         roots = after.select("k", "root")
         if not moved:
-            drop_written(both)
             return roots

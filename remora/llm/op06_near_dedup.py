@@ -187,7 +187,6 @@ def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int
     pairs = pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
     sig = lambda end, name: chosen.select(F.col("k").alias(end), F.col("sig").alias(name))
     close = arrow_map(pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb"), agree(k, LOOSE * similarity / SIMILARITY), "a long, b long")
-    close = written(close, "close")
     texts = lambda end, name: plain.select(F.col("_k").alias(end), F.col("text").alias(name))
     edges = written(arrow_map(close.join(texts("a", "ta"), "a").join(texts("b", "tb"), "b").select("a", "b", "ta", "tb"), jaccard(shingle, similarity), "a long, b long, similarity double"), "pairs")
     roots = components(edges).withColumnRenamed("k", "rep")
@@ -202,7 +201,6 @@ def classify(docs: DataFrame, **options) -> DataFrame:
     """
     docs, unique = keyed(docs)
     classes, edges = near_duplicates(docs, **options)
-    classes = written(classes, "classes")
     size = classes.groupBy("root").agg(F.count("*").alias("class_size"))
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     out = classes.join(size, "root").join(links, "rep", "left")
