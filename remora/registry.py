@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import retrieval_queries, store_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return store_queries.QUERIES | retrieval_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return store_queries.SQL | retrieval_queries.SQL
