@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int
     plain = docs.select("_k", "text")
     signed = written(arrow_map(plain, emit_signatures(k, shingle), SIGNATURES), "signatures")
     firsts = signed.groupBy("t1", "t2").agg(F.min("k").alias("rep"))
-    member = written(signed.select("k", "t1", "t2").join(firsts, ["t1", "t2"]).select("k", "rep"), "members")
+    member = signed.select("k", "t1", "t2").join(firsts, ["t1", "t2"]).select("k", "rep")
     chosen = signed.filter("n > 0").join(member.filter("k = rep").select("k"), "k", "left_semi").select("k", "sig")
     width, bands = 4 * band, k // band
     part = lambda i: F.xxhash64(F.lit(i % bands), F.substring("sig", (i % bands) * width + 1, width))
