@@ -336,6 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clea
 
     # one task fits the bounded sample; the driver gets the finished table
     row = found.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(fitted, "t binary, bias double, slope double, offset double").first()
+    if row is None:  # no labelled document
+        return Model(None)
     return Model(None if row["t"] is None else np.frombuffer(bytes(row["t"]), dtype=np.float32), row["bias"], row["slope"], row["offset"])
 
 

@@ -50,7 +50,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     made = [F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), size.alias("size"), key.alias("r")]
-    rest = [c for c in docs.columns if carry and c not in ("doc_id", "source", "size", "r", "row", "cell", "source_size", "target", "taken")]
+    rest = [c for c in docs.columns if carry and c not in ("doc_id", "text", "source", "size", "r", "row", "cell", "source_size", "target", "taken")]
     sized = written(docs.select(*made, *rest).withColumn("row", F.monotonically_increasing_id()).withColumn("cell", F.substring("r", 1, 3)), "sized")
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     wanted = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, limit)
@@ -80,10 +80,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs as mixed: rows that the mix takes twice come twice, rows that it leaves out are gone."""
-    marked = docs.withColumn("_taken", F.lit(None)) if "_taken" in docs.columns else docs
-    out = mix_sources(marked, carry=True, **options)
+    # all columns travel in one, whatever their names
+    kept = [c for c in ("doc_id", "text", "source") if c in docs.columns]
+    packed = docs.select(*kept, F.struct(*docs.columns).alias("_whole"))
+    out = mix_sources(packed, carry=True, **options)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return out.withColumn("times", times).filter("times > 0").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    out = out.select("_whole", times.alias("times")).filter("times > 0")
+    return out.select("_whole", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_whole.*")
 
 
 ORACLE = f"""
