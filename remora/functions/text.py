@@ -83,8 +83,16 @@ def folded_keep_cjk(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\u0080-\\u2FFF]", "_")
 
 
+def interpreted(value: Column, f) -> Column:
+    """f of value, evaluated inside a higher-order function: for expressions too long for generated code."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def question_class(query: Column) -> Column:
-    q = folded_keep_cjk(query)
+    return interpreted(folded_keep_cjk(query), _question_class)
+
+
+def _question_class(q: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, zh, en in CLASSES:
         out = F.coalesce(out, F.when(q.rlike(zh) | F.lower(q).rlike(en), name))
@@ -92,7 +100,10 @@ def question_class(query: Column) -> Column:
 
 
 def task_type_guess(query: Column) -> Column:
-    q = F.coalesce(query, F.lit(""))
+    return interpreted(F.coalesce(query, F.lit("")), _task_type_guess)
+
+
+def _task_type_guess(q: Column) -> Column:
     hits = {t: sum((F.when(q.contains(k), 1).otherwise(0) for k in ks), F.lit(0)) for t, ks in TASK_KEYWORDS.items()}
     best = F.greatest(*hits.values())
     out = F.lit(None).cast("string")
@@ -119,6 +130,20 @@ def key_values(text: Column) -> Column:
     return F.slice(F.array_distinct(F.when(F.size(keep) > 0, keep).otherwise(F.transform(names, F.lower))), 1, 5)
 
 
+def query_bigrams(query: Column, cap: int = 8) -> Column:
+    """Names that a query may hold where no segmenter is at hand: its character pairs."""
+    q = F.coalesce(query, F.lit(""))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - 1, F.lit(1))), lambda i: F.trim(F.substring(q, i, F.lit(2))))
+    return F.when(F.length(F.trim(q)) < 2, F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(F.filter(pairs, lambda x: (F.length(x) >= 2) & ~x.rlike("^[0-9]+$"))), 1, cap))
+
+
+def absent_values(delivered: Column, history: Column, values: Column, most: int = 5) -> Column:
+    """Values that should have been delivered and were not: none unless all that tell apart are missing."""
+    known = F.filter(values, lambda v: (F.length(history) - F.length(F.replace(history, v, F.lit("")))) / F.length(v) <= most)
+    missing = F.filter(known, lambda v: ~F.contains(delivered, v))
+    return F.when(F.size(missing) < F.size(known), F.array().cast("array<string>")).otherwise(missing)
+
+
 def hash_vector(text: Column, dims: int = 32) -> Column:
     """Values in [-1, 1) from the text's SHA-256."""
     h = F.sha2(F.coalesce(text, F.lit("")), 256)
@@ -156,7 +181,7 @@ def parse_time(query: Column, anchor: Column) -> Column:
     anchor is the date that relative words refer to; with a null one they name an interval without ends.
     The cascade is too long for generated code, so it is interpreted, inside a higher-order function.
     """
-    return F.get(F.transform(F.array(F.struct(query.alias("q"), anchor.alias("a"))), lambda x: _time_cascade(x["q"], x["a"])), F.lit(0))
+    return interpreted(F.struct(query.alias("q"), anchor.alias("a")), lambda x: _time_cascade(x["q"], x["a"]))
 
 
 def _time_cascade(query: Column, anchor: Column) -> Column:

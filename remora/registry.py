@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import retrieval_queries, store_queries
+from .plans import more_queries, retrieval_queries, store_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return store_queries.QUERIES | retrieval_queries.QUERIES
+    return store_queries.QUERIES | retrieval_queries.QUERIES | more_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return store_queries.SQL | retrieval_queries.SQL
+    return store_queries.SQL | retrieval_queries.SQL | more_queries.SQL
