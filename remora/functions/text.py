@@ -22,14 +22,12 @@ def folded(text: Column) -> Column:
 def summary_tokens(text: Column) -> Column:
     """Case-sensitive tokens of the summary index: no stop words, two characters or more, first 24."""
     parts = F.split(F.coalesce(text, F.lit("")), "[^0-9A-Za-z\\u4e00-\\u9fff]+")
-    stop = words_of(SUMMARY_STOP)
-    return F.slice(F.array_distinct(F.filter(parts, lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, F.lower(x)))), 1, SUMMARY_CAP)
+    return F.slice(F.filter(F.array_distinct(parts), lambda x: (F.length(x) >= 2) & ~F.lower(x).isin(SUMMARY_STOP)), 1, SUMMARY_CAP)
 
 
 def english_tokens(text: Column) -> Column:
-    stop = words_of(ENGLISH_STOP)
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    return F.slice(F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, x))), 1, ENGLISH_CAP)
+    return F.slice(F.filter(F.array_distinct(found), lambda x: (F.length(x) >= 2) & ~x.isin(ENGLISH_STOP)), 1, ENGLISH_CAP)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -146,8 +144,9 @@ def absent_values(delivered: Column, history: Column, values: Column, most: int
 
 def hash_vector(text: Column, dims: int = 32) -> Column:
     """Values in [-1, 1) from the text's SHA-256."""
-    h = F.sha2(F.coalesce(text, F.lit("")), 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.conv(F.substring(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128)
+    # the digest is bound once, not computed anew for each value
+    values = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.conv(F.substring(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128)
+    return interpreted(F.sha2(F.coalesce(text, F.lit("")), 256), values)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -29,8 +29,9 @@ def candidate_text() -> Column:
 def postings(memories: DataFrame, index: str) -> DataFrame:
     """(memory_id, user_id, token, tf, dl) of the raw or the summary index; no shuffle."""
     tokens = X.raw_tokens(F.col("content")) if index == "raw" else F.transform(X.summary_tokens(candidate_text()), F.lower)
-    counted = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
-    return memories.select("memory_id", "user_id", tokens.alias("tokens")).select("memory_id", "user_id", F.size("tokens").alias("dl"), F.explode(counted).alias("p")).select("memory_id", "user_id", "p.token", "p.tf", "dl")
+    # bound once: a plain column would be computed anew for each of its tokens
+    counted = X.interpreted(tokens, lambda ts: F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("token"), F.size(F.filter(ts, lambda x: x == t)).alias("tf"), F.size(ts).alias("dl"))))
+    return memories.select("memory_id", "user_id", F.explode(counted).alias("p")).select("memory_id", "user_id", "p.token", "p.tf", "p.dl")
 
 
 def token_df(posts: DataFrame) -> DataFrame:
