@@ -8,11 +8,15 @@ Darts up to the rank t / weight are thrown, t = k ln k + 2k; each dart names one
 the earliest of each coordinate makes up the signature. Documents that leave a coordinate without a dart
 throw on to twice the rank.
 
-Signatures are cut in bands; documents that share a band are candidates. Within a band's bucket, ordered
-by the next band, every document is paired with the bucket's first and with the next ones (all pairs of
-a small bucket, a bounded number of a large one's, where the order sets alike ones side by side), pairs are dropped whose signatures agree
-far too little, and the rest are verified by the exact Jaccard similarity of their shingle sets.
-Equal texts are merged first, so a group of copies takes part once.
+Signatures are cut in bands; documents that share a band are candidates. Pairs are dropped whose
+signatures agree far too little, and the rest are verified by the exact Jaccard similarity of their
+shingle sets. Equal texts are merged first, so a group of copies takes part once.
+
+All pairs of a small bucket are compared at once. In a large one, ordered by the next band, a document
+first meets the bucket's first and the next few, which joins most of what belongs together. Then
+whatever the verified pairs have left apart is compared: every pair of a large bucket whose ends are not
+of one class yet, block by block. A pair within a class cannot change the classes, so they are
+those that all pairs of all buckets would give.
 
 A class is a connected component of verified pairs and equal texts. Texts of fewer words than a shingle
 has are one shingle of all their words; texts without words match only equal texts. A null text counts
@@ -39,9 +43,13 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Pairs whose signatures agree in less than this share cannot reach SIMILARITY (over 4 standard deviations off).
 LOOSE = 0.58
-#: In a bucket's order, the first NEAR + 1 are paired with the next NEAR; those after them with the first of all and the next FEW.
+#: In a bucket's order, the first NEAR + 1 are paired with the next NEAR; those after them with the first of all and the next FEW, before the rest is compared.
 NEAR = 15
 FEW = 4
+#: Texts, and their shingles, of a block that large buckets are compared by, on average; columns of a block's matrix.
+BLOCK = 256
+SIZE = 500_000
+COLUMNS = 8192
 
 SIGNATURES = "k long, t1 long, t2 long, n long, sig binary"
 
@@ -142,6 +150,77 @@ def agree(k: int, least: float):
     return run
 
 
+def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text."""
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i, _, data, offsets in blocks(texts):
+        doc, h, _ = weighted(*shingles(Words(data, offsets, ALNUM_SPLIT, lower=True), len(offsets) - 1, n))
+        rows.append(doc + i)
+        found.append(h)
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def similarities(one: pa.Array, two: pa.Array, n: int) -> np.ndarray:
+    """The Jaccard similarity of each text of one block with each of another."""
+    (d1, h1), (d2, h2) = shingle_sets(one, n), shingle_sets(two, n)
+    shared = np.intersect1d(h1, h2)
+    both = np.zeros((len(one), len(two)))
+    for i in range(0, len(shared), COLUMNS):
+        part = shared[i : i + COLUMNS]
+        sides = []
+        for d, h, rows in ((d1, h1, len(one)), (d2, h2, len(two))):
+            at = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            hit = part[at] == h
+            dense = np.zeros((rows, len(part)), dtype=np.float32)
+            dense[d[hit], at[hit]] = 1
+            sides.append(dense)
+        both += sides[0] @ sides[1].T
+    size1, size2 = np.bincount(d1, minlength=len(one)), np.bincount(d2, minlength=len(two))
+    return both / np.maximum(1, size1[:, None] + size2[None, :] - both)
+
+
+def jaccard_in_blocks(n: int, least: float):
+    """The similar pairs, with ends in two classes, of two blocks of (key, class, text)."""
+    schema = arrow_schema("a long, b long, similarity double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                (k1, r1, t1), (k2, r2, t2) = ([block.values.field(i) for i in range(3)] for block in (one, two))
+                found = similarities(t1, t2, n)
+                x, y = np.nonzero((found >= least) & (r1.to_numpy()[:, None] != r2.to_numpy()[None, :]))
+                a, b = k1.to_numpy()[x], k2.to_numpy()[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[x, y])], schema=schema)
+
+    return run
+
+
+def left_apart(plain: DataFrame, chosen: DataFrame, roots: DataFrame, bucket_of, shingle: int, similarity: float, near: int, block: int) -> DataFrame:
+    """(a, b, similarity) of the similar pairs of large buckets whose ends are in two classes.
+
+    The rows outside a bucket's largest class meet all of the bucket's. Both are dealt into blocks of a
+    bounded size by the hash of their keys, so no bucket is gathered in one task, and only similar pairs
+    become rows.
+    """
+    placed = chosen.join(roots, "k", "left").select("k", "n", "sig", F.coalesce("root", "k").alias("root"))
+    rows = placed.select("k", "n", "root", F.explode(bucket_of).alias("x")).select("k", "n", "root", "x.bucket")
+    shares = rows.groupBy("bucket", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    main = F.max(F.struct("rows", "root", "size"))
+    mixed = shares.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size"), main.alias("main"))
+    mixed = mixed.filter((F.col("rows") > near + 1) & (F.col("rows") > F.col("main.rows")))
+    many = lambda rows, size: F.ceil(F.greatest(rows / block, size / SIZE))
+    mixed = mixed.select("bucket", F.col("main.root").alias("main"), many(F.col("rows"), F.col("size")).alias("wide"), many(F.col("rows") - F.col("main.rows"), F.col("size") - F.col("main.size")).alias("high"))
+    found = written(rows.join(mixed, "bucket").select("k", "root", "bucket", "main", "wide", "high"), "mixed")
+    texts = plain.withColumnRenamed("_k", "k").join(found.select("k").distinct(), "k", "left_semi")
+    found = found.join(texts, "k")
+    of = lambda n: F.pmod(F.xxhash64("k"), F.col(n))
+    gathered = F.collect_list(F.struct("k", "root", F.coalesce("text", F.lit("")).alias("text")))
+    every = found.groupBy("bucket", of("wide").alias("at")).agg(gathered.alias("two"))
+    others = found.filter("root <> main").groupBy("bucket", "wide", of("high").alias("own")).agg(gathered.alias("one"))
+    others = others.select("bucket", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("at"))
+    return arrow_map(others.join(every, ["bucket", "at"]).select("one", "two"), jaccard_in_blocks(shingle, similarity), "a long, b long, similarity double")
+
+
 def jaccard(n: int, least: float):
     schema = arrow_schema("a long, b long, similarity double")
 
@@ -166,16 +245,17 @@ def jaccard(n: int, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int = SHINGLE, similarity: float = SIMILARITY, near: int = NEAR, few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """(_k, rep, root) of each row of keyed docs, and the verified pairs (a, b, similarity) of representatives."""
+def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int = SHINGLE, similarity: float = SIMILARITY, near: int = NEAR, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """(_k, rep, root) of each row of keyed docs: the first row of its text, and of its class."""
     plain = docs.select("_k", "text")
     signed = written(arrow_map(plain, emit_signatures(k, shingle), SIGNATURES), "signatures")
     firsts = signed.groupBy("t1", "t2").agg(F.min("k").alias("rep"))
     member = signed.select("k", "t1", "t2").join(firsts, ["t1", "t2"]).select("k", "rep")
-    chosen = signed.filter("n > 0").join(member.filter("k = rep").select("k"), "k", "left_semi").select("k", "sig")
+    chosen = signed.filter("n > 0").join(member.filter("k = rep").select("k"), "k", "left_semi").select("k", "n", "sig")
     width, bands = 4 * band, k // band
     part = lambda i: F.xxhash64(F.lit(i % bands), F.substring("sig", (i % bands) * width + 1, width))
-    buckets = chosen.select("k", F.explode(F.array(*[F.struct(part(i).alias("bucket"), part(i + 1).alias("next")) for i in range(bands)])).alias("x")).select("k", "x.*")
+    bucket_of = F.array(*[F.struct(part(i).alias("bucket"), part(i + 1).alias("next")) for i in range(bands)])
+    buckets = chosen.select("k", F.explode(bucket_of).alias("x")).select("k", "x.*")
     order = Window.partitionBy("bucket").orderBy("next", "k")
     ahead = F.collect_list("k").over(order.rowsBetween(1, near))
     first = F.first("k").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -189,32 +269,34 @@ def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int
     close = arrow_map(pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb"), agree(k, LOOSE * similarity / SIMILARITY), "a long, b long")
     texts = lambda end, name: plain.select(F.col("_k").alias(end), F.col("text").alias(name))
     edges = written(arrow_map(close.join(texts("a", "ta"), "a").join(texts("b", "tb"), "b").select("a", "b", "ta", "tb"), jaccard(shingle, similarity), "a long, b long, similarity double"), "pairs")
-    roots = components(edges).withColumnRenamed("k", "rep")
+    roots = components(edges)
+    more = written(left_apart(plain, chosen, roots, bucket_of, shingle, similarity, near, block), "apart")
+    if more.limit(1).count():
+        roots = components(edges.unionByName(more))
+    roots = roots.withColumnRenamed("k", "rep")
     classes = member.join(roots, "rep", "left").select(F.col("k").alias("_k"), "rep", F.coalesce("root", "rep").alias("root"))
-    return classes, edges
+    return classes
 
 
 def classify(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id, class_size, n_links (of its text to other texts, as verified) and kept of each row.
+    """doc_id, class_id, class_size and kept of each row.
 
     class_id is the doc_id of the class's first document, the one that stays.
     """
     docs, unique = keyed(docs)
-    classes, edges = near_duplicates(docs, **options)
+    classes = near_duplicates(docs, **options)
     size = classes.groupBy("root").agg(F.count("*").alias("class_size"))
-    links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    out = classes.join(size, "root").join(links, "rep", "left")
-    out = out.select("_k", F.col("root").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("_k") == F.col("root")).alias("kept"))
+    out = classes.join(size, "root").select("_k", F.col("root").alias("class_id"), "class_size", (F.col("_k") == F.col("root")).alias("kept"))
     if unique:
         return out.withColumnRenamed("_k", "doc_id")
     names = docs.select(F.col("_k").alias("class_id"), F.col("doc_id").cast("long").alias("name"))
     out = out.join(names, "class_id").drop("class_id").withColumnRenamed("name", "class_id")
-    return with_ids(out, docs, unique, "_k").select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return with_ids(out, docs, unique, "_k").select("doc_id", "class_id", "class_size", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The first document of each class, with the columns of docs."""
     columns = docs.columns
     keys, _ = keyed(docs)
-    classes, _ = near_duplicates(keys, **options)
+    classes = near_duplicates(keys, **options)
     return keys.join(classes.filter("_k = root").select("_k"), "_k", "left_semi").select(*columns)

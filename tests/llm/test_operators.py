@@ -255,6 +255,36 @@ def test_op6_large_bucket(spark):
     assert got == {0}
 
 
+def test_op6_large_buckets_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for group in range(3):
+        base = [f"w{group}x{rng.randrange(10**6)}" for _ in range(100)]
+        for i in range(50):
+            t = list(base)
+            for _ in range(rng.choice([1, 2, 2, 3, 4])):
+                t[rng.randrange(100)] = f"r{group}y{rng.randrange(25)}"
+            rows.append((group * 50 + i, " ".join(t)))
+    rng.shuffle(rows)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in rows)}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and similar(sets[a], sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in op6.classify(df, band=1, near=1, few=0, block=8).collect()}
+    assert 3 < len(set(got.values())) < 150
+    assert got == {k: find(k) for k in sets}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(graph.components(edges).collect())
