@@ -271,11 +271,14 @@ def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int
     edges = written(arrow_map(close.join(texts("a", "ta"), "a").join(texts("b", "tb"), "b").select("a", "b", "ta", "tb"), jaccard(shingle, similarity), "a long, b long, similarity double"), "pairs")
     roots = components(edges)
     more = written(left_apart(plain, chosen, roots, bucket_of, shingle, similarity, near, block), "apart")
-    if more.limit(1).count():
-        roots = components(edges.unionByName(more))
-    roots = roots.withColumnRenamed("k", "rep")
-    classes = member.join(roots, "rep", "left").select(F.col("k").alias("_k"), "rep", F.coalesce("root", "rep").alias("root"))
-    return classes
+    classes = member.join(roots.withColumnRenamed("k", "rep"), "rep", "left").select(F.col("k").alias("_k"), "rep", F.coalesce("root", "rep").alias("root"))
+    if not more.limit(1).count():
+        return classes
+    # a graph of classes, which is far smaller than that of documents
+    root_of = lambda end: roots.select(F.col("k").alias(end), F.col("root").alias(f"r{end}"))
+    between = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = components(written(between.distinct(), "between")).select(F.col("k").alias("root"), F.col("root").alias("low"))
+    return classes.join(joined, "root", "left").select("_k", "rep", F.coalesce("low", "root").alias("root"))
 
 
 def classify(docs: DataFrame, **options) -> DataFrame:
