@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import retrieval as R
 from ..sources import connectors as C
 from ..sources import views as V
-from .retrieval_queries import ALL, BASE, IDF, POSTS, RAW, SEM, _base, _clipped, _CLIP
+from .retrieval_queries import ALL, BASE, ENT, IDF, POSTS, RAW, SEM, _base, _clipped, _CLIP, _NEAR, tokens_sql
 from .store_queries import MEM
 
 QUERIES: dict = {}
@@ -133,9 +133,11 @@ def index_upsert(spark, sf_dir):
     return old.unionByName(R.postings(changed, "raw")).select("memory_id", "token")
 
 
-@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+@query("SELECT count(*) AS n, count(DISTINCT label) AS labels, array_to_string(list_sort(list(DISTINCT len(embedding))), ',') AS dims FROM embeddings")
 def distinct_sets(spark, sf_dir):
-    return V.table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    """How many vectors there are, and the sets of their labels and dimensions."""
+    dims = F.array_join(F.array_sort(F.collect_set(F.size("embedding"))), ",")
+    return V.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), dims.alias("dims"))
 
 
 @query("SELECT doc_id, round((('0x' || substring(sha256(text), 1, 2))::INT - 128) / 128.0::DOUBLE, 6) AS first_value FROM documents")
@@ -177,3 +179,68 @@ def rerank_connector(spark, sf_dir):
     return C.score_pairs(pairs.select("q_id", "memory_id", "query", "text"), overlap)
 
 
+@query(f"""{BASE}, {SEM}, {ENT}, once AS (SELECT q_id, memory_id, count(DISTINCT entity) AS hits, max(idf) AS score FROM seeds JOIN ent USING (user_id, entity) JOIN idf USING (user_id, entity) GROUP BY q_id, memory_id)
+SELECT q_id, memory_id, hits, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, memory_id) AS rank FROM once QUALIFY rank <= 50""")
+def min_hits(spark, sf_dir):
+    """The entity route where one shared entity is enough."""
+    q, m = _base(spark, sf_dir)
+    seeds = R.entity_seeds(R.semantic(q, m, R.ROUTE_TOP), m, q)
+    return R.entity_route(seeds, m, min_hits=1, top=50).select("q_id", "memory_id", "hits", "rank")
+
+
+@query(f"{BASE}, {SEM}, {IDF} SELECT DISTINCT q_id, e.user_id, entity FROM sem JOIN ent e USING (memory_id) WHERE rank <= 5")
+def entity_seed(spark, sf_dir):
+    """Entities of each query's best hits alone."""
+    q, m = _base(spark, sf_dir)
+    return R.entity_seeds(R.semantic(q, m, R.ROUTE_TOP), m, q.filter("false"))
+
+
+@query(f"{ALL} SELECT q_id, memory_id, round(coalesce(1.0::DOUBLE / (60 + semantic), 0) + coalesce(0.5::DOUBLE / (60 + entity), 0) + coalesce(2.0::DOUBLE / (60 + lexical), 0), 8) AS score FROM piv")
+def rank_fuse(spark, sf_dir):
+    """Reciprocal rank fusion with a weight for each route."""
+    q, m = _base(spark, sf_dir)
+    sem = R.semantic(q, m, R.ROUTE_TOP)
+    lists = {"semantic": sem, "entity": R.entity_route(R.entity_seeds(sem, m, q), m), "lexical": R.bm25(q, m, "raw", R.ROUTE_TOP)}
+    fused = R.rrf(lists, weights={"semantic": 1.0, "entity": 0.5, "lexical": 2.0})
+    return fused.select("q_id", "memory_id", F.round("score", 8).alias("score"))
+
+
+@query(f"WITH {tokens_sql('t', 'conversations', 'text')} SELECT conv_id, turn, array_to_string(tokens, ' ') AS tokens FROM t")
+def token_union(spark, sf_dir):
+    """Both tokenizers' words of each turn, in order."""
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.raw_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"""{_NEAR}, run AS (SELECT q_id, memory_id, sum(length(summary)) OVER (PARTITION BY q_id ORDER BY hit_rank, position, memory_id ROWS UNBOUNDED PRECEDING) AS used FROM near JOIN docs USING (memory_id))
+SELECT q_id, memory_id FROM run WHERE used <= 3000""")
+def expand_budget(spark, sf_dir):
+    """Neighbours of the delivered hits, as far as a budget of 3,000 characters goes."""
+    _, m, hits = _clipped(spark, sf_dir)
+    return R.expand_hits(hits, m, 2, 3000).filter("expanded").select("q_id", "memory_id")
+
+
+_ANCHORED = "a AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)"
+
+
+@query(f"""WITH {_ANCHORED} SELECT o_orderkey, 'last week' AS phrase, CAST(date_trunc('week', d) AS DATE) - 7 AS lo, CAST(date_trunc('week', d) AS DATE) - 1 AS hi FROM a
+UNION ALL SELECT o_orderkey, '3 months ago', CAST(date_trunc('month', d) - INTERVAL 3 MONTH AS DATE), CAST(date_trunc('month', d) - INTERVAL 2 MONTH AS DATE) - 1 FROM a
+UNION ALL SELECT o_orderkey, 'next year', make_date(year(d) + 1, 1, 1), make_date(year(d) + 1, 12, 31) FROM a
+UNION ALL SELECT o_orderkey, 'yesterday', d - 1, d - 1 FROM a""")
+def resolve_rel(spark, sf_dir):
+    """Relative words as intervals, with each order's date as the anchor."""
+    a = V.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.explode(F.array(*map(F.lit, ["last week", "3 months ago", "next year", "yesterday"]))).alias("phrase"))
+    return a.select("o_orderkey", "phrase", X.parse_time(F.col("phrase"), F.col("d")).alias("t")).select("o_orderkey", "phrase", "t.lo", "t.hi")
+
+
+@query(f"WITH {_ANCHORED} SELECT o_orderkey, d AS lo, d AS hi, 'day' AS kind FROM a")
+def iso(spark, sf_dir):
+    """Dates written as year, month and day, inside a sentence."""
+    text = F.concat(F.lit("what happened on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("?"))
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", X.parse_time(text, F.lit(None).cast("date")).alias("t")).select("o_orderkey", "t.lo", "t.hi", "t.kind")
+
+
+@query(f"{BASE} SELECT memory_id FROM docs WHERE list_has_all(core_entities, ['The', 'Les']) OR list_has_all(core_entities, ['The'])")
+def core_entity_all(spark, sf_dir):
+    """Memories that hold every entity of either list."""
+    every = lambda wanted: F.size(F.array_except(F.array(*map(F.lit, wanted)), "core_entities")) == 0
+    return V.doc_memories(spark, sf_dir).filter(every(["The", "Les"]) | every(["The"])).select("memory_id")
