@@ -239,8 +239,7 @@ def iso(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").select("o_orderkey", X.parse_time(text, F.lit(None).cast("date")).alias("t")).select("o_orderkey", "t.lo", "t.hi", "t.kind")
 
 
-@query(f"{BASE} SELECT memory_id FROM docs WHERE list_has_all(core_entities, ['The', 'Les']) OR list_has_all(core_entities, ['The'])")
+@query(f"{BASE} SELECT memory_id FROM docs WHERE list_has_all(core_entities, ['Der', 'Die'])")
 def core_entity_all(spark, sf_dir):
-    """Memories that hold every entity of either list."""
-    every = lambda wanted: F.size(F.array_except(F.array(*map(F.lit, wanted)), "core_entities")) == 0
-    return V.doc_memories(spark, sf_dir).filter(every(["The", "Les"]) | every(["The"])).select("memory_id")
+    """Memories that hold all of the wanted entities."""
+    return V.doc_memories(spark, sf_dir).filter(F.size(F.array_except(F.array(F.lit("Der"), F.lit("Die")), "core_entities")) == 0).select("memory_id")
