@@ -1,8 +1,8 @@
-"""Near-duplicate documents by DartMinHash over weighted word shingles.
+"""Near-duplicate documents by DartMinHash over word shingles.
 
-A document is the weighted set of its `shingle`-word shingles; a shingle that stands n times has the
-weight 1 + floor(log2 n). Each whole unit of weight is a region into which hashed darts fall, as
-a Poisson process along the rank axis: gaps between a region's darts are exponential and come from the
+A document is the set of its `shingle`-word shingles, each of weight 1 however often it stands, so that
+signatures estimate the similarity that decides. Each whole unit of weight is a region into which hashed
+darts fall, as a Poisson process along the rank axis: gaps between a region's darts are exponential and come from the
 hash of (shingle, unit, dart), so that any two documents that share a region see the same darts there.
 Darts up to the rank t / weight are thrown, t = k ln k + 2k; each dart names one of k coordinates, and
 the earliest of each coordinate makes up the signature. Documents that leave a coordinate without a dart
@@ -65,13 +65,12 @@ def shingles(words: Words, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]
     return doc, h
 
 
-def weighted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle, weight) of the distinct shingles."""
+def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of the distinct shingles."""
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    many = np.diff(np.append(new, len(doc)))
-    return doc[new], h[new], 1 + np.floor(np.log2(np.maximum(many, 1))).astype(np.int64)
+    return doc[new], h[new]
 
 
 def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
@@ -121,8 +120,8 @@ def emit_signatures(k: int, n: int):
             for _, _, data, offsets in blocks(batch.column(1)):
                 docs = len(offsets) - 1
                 words = Words(data, offsets, ALNUM_SPLIT, lower=True)
-                doc, h, w = weighted(*shingles(words, docs, n))
-                sig = dart_minhash(doc, h, w, docs, k)
+                doc, h = distinct(*shingles(words, docs, n))
+                sig = dart_minhash(doc, h, np.ones(len(doc), np.int64), docs, k)
                 text = Hasher(data).spans(offsets[:-1], offsets[1:])
                 # a second hash of the text, by its bytes in reverse
                 other = Hasher(data[::-1]).spans(len(data) - offsets[1:], len(data) - offsets[:-1])
@@ -154,7 +153,7 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each text."""
     rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for i, _, data, offsets in blocks(texts):
-        doc, h, _ = weighted(*shingles(Words(data, offsets, ALNUM_SPLIT, lower=True), len(offsets) - 1, n))
+        doc, h = distinct(*shingles(Words(data, offsets, ALNUM_SPLIT, lower=True), len(offsets) - 1, n))
         rows.append(doc + i)
         found.append(h)
     return np.concatenate(rows), np.concatenate(found)
@@ -231,7 +230,7 @@ def jaccard(n: int, least: float):
                 sets: list[np.ndarray] = []
                 for _, _, data, offsets in blocks(batch.column(c)):
                     docs = len(offsets) - 1
-                    doc, h, _ = weighted(*shingles(Words(data, offsets, ALNUM_SPLIT, lower=True), docs, n))
+                    doc, h = distinct(*shingles(Words(data, offsets, ALNUM_SPLIT, lower=True), docs, n))
                     edges = np.searchsorted(doc, np.arange(docs + 1))
                     sets += [h[edges[d] : edges[d + 1]] for d in range(docs)]
                 sides.append(sets)

@@ -285,6 +285,21 @@ def test_op6_large_buckets_equal_brute_force(spark):
     assert got == {k: find(k) for k in sets}
 
 
+def test_op6_repeats_inside_a_text_do_not_part_it_from_its_set(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(0, 60, 3):
+        base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+        line = " ".join(base.split(" ")[:9])
+        # pasted twice, pasted four times, and with one line repeated many times
+        rows += [(i, base), (i + 1, " ".join([base] * rng.choice([2, 4]))), (i + 2, " ".join([base] + [line] * 300))]
+        want.update({i + j: i for j in range(3)})
+    sets = {k: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for k, w in ((k, t.split(" ")) for k, t in rows)}
+    assert all(similar(sets[a], sets[b]) for a, b in want.items())
+    got = {r.doc_id: r.class_id for r in op6.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(graph.components(edges).collect())
