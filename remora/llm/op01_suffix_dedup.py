@@ -6,7 +6,8 @@ that still share a group at that depth are exactly the repeated windows. The pas
 1. The first digit of a window is its minimiser: the smallest of the hashes of its `gram`-byte strings.
    Neighbouring windows mostly share theirs, so a run of them travels as one row (digit, hash of the
    run's bytes, document, start and length); no text is shuffled. Digits that occur once are done.
-2. Runs with equal digit and equal bytes are settled at once: all but the first repeat it.
+2. Runs with equal digit and equal bytes, by all 64 bits of the bytes' hash beside the digit's 64, are
+   settled at once: all but the first repeat it.
 3. Runs that share the digit and differ elsewhere are sorted by their bytes, eight at a time; windows
    left alone by a digit drop out of the next pass. A digit that very many different runs share is
    first split by one more digit, the hash of the single window, and equal windows of a batch are
@@ -39,7 +40,7 @@ HOT_RUNS = 4096
 #: Windows that one sort handles at once, unless a group has more.
 SORT_WINDOWS = 150_000
 
-RUNS = "g long, h int, k long, p long"
+RUNS = "g long, h long, k long, p long"
 PIECES = "g long, k long, start int, body binary"
 SPANS = "k long, start int, n int"
 
@@ -90,7 +91,7 @@ def emit_runs(depth: int, gram: int):
             p = (start << 8) | count
             g = np.where(again, mix(k.view(np.uint64) * U(0x9E3779B97F4A7C15) + p.view(np.uint64)), digit)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(g)), pa.array((body >> U(32)).astype(np.uint32).view(np.int32)), pa.array(k), pa.array(np.where(again, -p, p))],
+                [pa.array(signed(g)), pa.array(signed(body)), pa.array(k), pa.array(np.where(again, -p, p))],
                 schema=schema,
             )
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from remora.llm import op01_suffix_dedup as op1
@@ -82,6 +83,15 @@ def test_op1_radix_groups_are_the_equal_windows():
     assert all(len(x) == 1 for x in by.values()) and len(by) == sum(n > 1 for n in want.values())
 
 
+def test_op1_keeps_runs_apart_whose_hashes_share_their_upper_half(monkeypatch):
+    body = np.array([(1 << 32) + 1, (1 << 32) + 2, (1 << 32) + 1], dtype=np.uint64)
+    monkeypatch.setattr(op1, "runs_of", lambda *_: (np.arange(3), np.zeros(3, np.int64), np.full(3, 5), np.full(3, 7, np.uint64), body))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array(["a", "b", "c"])], names=["_k", "text"])
+    rows = pa.Table.from_batches(op1.emit_runs(100, 20)([batch])).to_pylist()
+    first = {r["k"]: (r["g"], r["h"]) for r in rows if r["p"] > 0}
+    assert set(first) == {0, 1} and first[0] != first[1]
+
+
 def test_op2_finds_every_repeated_run_of_50_words(docs):
     rows, df = docs
     seen, want = {}, set()
