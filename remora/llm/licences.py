@@ -8,6 +8,11 @@ PHRASES = {
     "mit license": "mit",
 }
 
+#: Words that tell licences apart, beside all numbers: a span must have those of its template.
+TELLING = ["apache", "gnu", "mit", "cc", "by", "commons", "attribution", "mozilla", "endorse", "unencumbered"]
+#: Words that make another licence of a notice: a span has none that its template has not.
+MODIFIERS = ["noncommercial", "nc", "sharealike", "sa", "noderivatives", "noderivs", "nd", "lesser", "affero"]
+
 #: label -> notices. The first words of a notice that people paste, or its short form.
 TEMPLATES = {
     "apache-2.0": [
@@ -29,7 +34,7 @@ TEMPLATES = {
     "cc-by-4.0": ["This work is licensed under the Creative Commons Attribution 4.0 International License."],
     "cc-by-sa-4.0": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
     "bsd-3-clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",

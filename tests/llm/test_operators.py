@@ -336,6 +336,25 @@ def test_op7_base_and_templates(spark):
     assert (got[6].n_base, got[6].labels) == (1, "gpl")
 
 
+def test_op7_verifies_the_words_that_tell_licences_apart(spark):
+    cc = "This work is licensed under the Creative Commons Attribution%s 4.0 International License."
+    gpl, bsd = op7.TEMPLATES["gpl-3.0"][1], op7.TEMPLATES["bsd-3-clause"][0]
+    texts = {
+        cc % "": "cc-by-4.0",
+        cc % "-NonCommercial": "cc-by-nc-4.0",
+        cc % "-ShareAlike": "cc-by-sa-4.0",
+        cc % "-NonCommercial-NoDerivatives": "",
+        (cc % "").replace("4.0", "3.0"): "",
+        "x " * 20 + cc % "-NonCommercial" + " and the data: " + cc % "": "cc-by-4.0,cc-by-nc-4.0",
+        gpl: "gpl,gpl-3.0",
+        gpl.replace("either version 3", "either version 2"): "gpl",
+        bsd: "bsd-3-clause",
+        bsd[: bsd.index("Neither")]: "",
+    }
+    got = {r.doc_id: r.labels for r in op7.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 @pytest.mark.parametrize("shards", [24, 3])
 def test_op8_laws(docs, shards):
     rows, df = docs
