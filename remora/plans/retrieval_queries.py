@@ -88,7 +88,7 @@ def _base(spark, sf_dir):
 def _fused(spark, sf_dir):
     q, m = _base(spark, sf_dir)
     sem = R.semantic(q, m, R.ROUTE_TOP)
-    lists = {"semantic": sem, "entity": R.entity_route(R.entity_seeds(sem, m, q), m), "lexical": R.bm25(q, m, "raw", R.ROUTE_TOP)}
+    lists = {"semantic": sem, "entity": R.entity_route(R.entity_seeds(sem, m, q), m), "time": R.time_route(q, m, sem), "lexical": R.bm25(q, m, "raw", R.ROUTE_TOP)}
     return q, m, R.rrf(lists)
 
 

@@ -146,3 +146,13 @@ def test_stream_replays_into_the_same_store(spark, sf, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "store" / "v0"))
     assert stored.count() == spark.read.parquet(str(source)).count()
     assert stored.filter("user_id IS NULL").count() == 0 and isinstance(stored.first().source_date, dt.date)
+
+
+def test_fusion_has_the_rows_found_by_date(spark, sf, monkeypatch):
+    from remora.plans import retrieval_queries as P
+
+    q = V.query_batch(spark, sf).limit(4).withColumn("query", F.lit("What happened on 7 May 2023?"))
+    monkeypatch.setattr(V, "query_batch", lambda *_: q)
+    batch, m, fused = P._fused(spark, sf)
+    want = {(r.q_id, r.memory_id, r.rank) for r in R.time_route(batch, m, R.semantic(batch, m, R.ROUTE_TOP)).collect()}
+    assert want and want == {(r.q_id, r.memory_id, r.time) for r in fused.filter("time IS NOT NULL").collect()}
