@@ -111,6 +111,23 @@ def test_op2_finds_every_repeated_run_of_50_words(docs):
         assert len(x & y) / len(x | y) >= 0.8 and r.other_id < r.doc_id
 
 
+def test_op2_finds_a_variant_that_two_documents_apart_share(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for group in range(12):
+        notice = [f"n{group}x{j}" for j in range(50)]
+        variant = list(notice)
+        variant[15], variant[33] = f"v{group}a", f"v{group}b"
+        for i in range(9):
+            own = [f"o{rng.randrange(10**9)}" for _ in range(120)]
+            rows.append((group * 9 + i, " ".join([*own[:60], *(variant if i in (2, 8) else notice), *own[60:]])))
+        want.add((group * 9 + 8, group * 9 + 2))
+    got = op2.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want <= {(r.doc_id, r.other_id) for r in got}
+    assert {r.doc_id % 9 for r in got} == {1, 3, 4, 5, 6, 7, 8}  # the first notice and the first variant are no repeats
+    assert len({(r.doc_id, r.other_id) for r in got}) == len(got)
+
+
 def test_op2_nearest_smaller():
     rng = random.Random(2)
     value = np.array(rng.sample(range(1000), 60), dtype=np.uint64)
