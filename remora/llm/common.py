@@ -37,6 +37,11 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished queries, which stay until the driver's JVM collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of bounded bytes as well as rows."""
     spark = df.sparkSession
