@@ -13,9 +13,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """The folder that driver and executors share. A local master may go without; a cluster must name one."""
+    conf = spark.sparkContext.getConf()
+    found = spark.conf.get("spark.checkpoint.dir", "") or conf.get("spark.checkpoint.dir", "")
     if not found:
+        master = conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_own_shared_dir", "") or f"file://{tempfile.mkdtemp(prefix='remora-')}"
         spark.sparkContext._own_shared_dir = found
     return found.rstrip("/")
@@ -45,17 +49,24 @@ def release(spark: SparkSession) -> None:
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of bounded bytes as well as rows."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return df.mapInArrow(f, schema)
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with a column _k: unique longs in the order of doc_id (nulls last); whether _k is doc_id itself.
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of names, where docs has them, and _whole: the whole row in one, so that no other name can clash."""
+    kept = [c for c in names if c in docs.columns]
+    return docs.select(*kept, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+
+
+def keyed(docs: DataFrame, *more: str) -> tuple[DataFrame, bool]:
+    """doc_id, text and the columns of more, with _k: unique longs in the order of doc_id (nulls last); whether _k is doc_id itself.
 
     It is doc_id itself where that is unique and free of nulls. Otherwise rows that share a doc_id
     are ordered by the hash of their text, and whole repeats stay rows of their own.
     """
+    docs = docs.select("doc_id", "text", *more)
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id IS NULL OR n > 1").limit(1).count()
     if not odd:
         return docs.withColumn("_k", F.col("doc_id").cast("long")), True

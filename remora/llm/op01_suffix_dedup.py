@@ -10,8 +10,9 @@ that still share a group at that depth are exactly the repeated windows. The pas
    settled at once: all but the first repeat it.
 3. Runs that share the digit and differ elsewhere are sorted by their bytes, eight at a time; windows
    left alone by a digit drop out of the next pass. A digit that very many different runs share is
-   first split by one more digit, the hash of the single window, and equal windows of a batch are
-   merged, so that no task gets an unbounded group.
+   first split by one more digit, the hash of the single window. Of equal windows of a batch the first
+   alone is sorted and the others are marked as its repeats, so that a window's group has a row of each
+   batch at most.
 
 A batch keeps one row of equal runs before the shuffle, and marks the others as repeats there and then.
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +130,15 @@ def cut_pieces(depth: int):
                 ends = np.concatenate([[0], np.cumsum(size[part])])
                 seen = Hasher(body).spans(ends[:-1], ends[1:])
                 key = np.where(is_window[part], signed(mix(group[part].view(np.uint64) ^ seen)), group[part])
+                # a window that stands in this batch before: a row without bytes, of a group of its own
+                k, b = keys[row[part]], begin[part]
+                order = np.lexsort((b, k, key))
+                again = np.zeros(len(key), dtype=bool)
+                again[order[1:]] = (key[order][1:] == key[order][:-1]) & is_window[part][order][1:]
+                if again.any():
+                    body = body[~again[line]]
+                    ends = np.concatenate([[0], np.cumsum(np.where(again, 0, size[part]))])
+                    key = np.where(again, signed(mix(k.view(np.uint64) ^ mix(b.astype(np.uint64)))), key)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(keys[row[part]]), pa.array(begin[part].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])],
                     schema=schema,
@@ -195,6 +206,13 @@ def sort_windows(depth: int):
             return tuple(np.concatenate([x[i] for x in parts]) for i in range(3)) + ([x[3] for x in parts], np.concatenate([x[4] for x in parts]))
 
         for batch in batches:
+            marked = pc.equal(pc.binary_length(batch.column(3)), 0)
+            if pc.any(marked).as_py():
+                told = batch.filter(marked)
+                yield pa.RecordBatch.from_arrays([told.column(1), told.column(2), pa.array(np.ones(told.num_rows, np.int32))], schema=schema)
+                batch = batch.filter(pc.invert(marked))
+                if not batch.num_rows:
+                    continue
             body = batch.column(3).cast(pa.large_binary())
             offsets = np.frombuffer(body.buffers()[1], dtype=np.int64)[body.offset : body.offset + len(body) + 1]
             data = np.frombuffer(body.buffers()[2], dtype=np.uint8)

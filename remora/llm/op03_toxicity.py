@@ -1,6 +1,7 @@
 """Toxicity by a support vector machine on a gapped subsequence string kernel, with Nystroem landmarks.
 
-The kernel of two strings sums, over their subsequences of three and four bytes that span at most six,
+The kernel of two strings sums, over their subsequences of three and four bytes that span at most six
+(and one shape of four that spans seven),
 lambda to the power of both spans: "i.d.i.o.t" and "idixot" still share most of what they have with
 "idiot". A string is a blank-separated token, lower-cased, with its ends marked and its outer
 punctuation cut off; a character put between two letters, or a blank between single ones, is dropped,
@@ -14,13 +15,18 @@ document's margin is that of its worst sentence, and a sentence's that of its wo
 curve turns margins into scores. The margin is linear in the kernel, so landmarks and weights fold into
 one table of subsequence weights that is sent to the tasks.
 
+Of the sample's clean tokens, the machine trains with those most like the toxic ones and the most common
+(HARD of each, of the POOL most common), and each round adds the WORST that it has wrong; the kernel's
+cells are hashed to 2 ** BITS. These bound the fit, not what is scored. Spellings with characters put in
+(disguised()) are added for the landmarks' words.
+
 Training reads a sample of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents (the first by hash
 of doc_id), never those whose crc32(doc_id) mod 5 is 0; everything is scored.
 
 Null and empty texts have the margin of nothing toxic. Labels that are null, or belong to no document,
 are passed over; a document with several labels is toxic if one says so. Without labels of both kinds
-every score is 0. Repeated rows are scored each; other columns pass through score_column() unchanged,
-but for those named like its own.
+every score is 0. Repeated rows are scored each; other columns are ignored, and scored() carries whole
+rows, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,16 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
+from .common import arrow_map, packed
 from .kernel import BLANK_SPLIT, LOWER, Words, blocks
 
 SAMPLE_TOXIC = 1500
 SAMPLE_CLEAN = 6000
 LANDMARKS = 160
 ROUNDS = 3
+#: Clean tokens that the fit compares with the landmarks, trains with from the start, and adds each round.
+POOL, HARD, WORST = 20_000, 6000, 3000
 LAMBDA = 0.6
 BITS = 16
 PIECE = 44
@@ -277,9 +287,9 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     rest = np.argsort(-in_clean, kind="stable")
     rest = rest[in_clean[rest] > 0]
     like = np.zeros(len(one))
-    near = kernels(tokens, one[rest[:20_000]], cells_of(tokens, one[seeds[:40]])).max(axis=1) if len(rest) else np.zeros(0)
-    like[rest[:20_000]] = near
-    hard = rest[:20_000][np.argsort(-near, kind="stable")]
+    near = kernels(tokens, one[rest[:POOL]], cells_of(tokens, one[seeds[:40]])).max(axis=1) if len(rest) else np.zeros(0)
+    like[rest[:POOL]] = near
+    hard = rest[:POOL][np.argsort(-near, kind="stable")]
     chosen = np.r_[seeds, hard[: landmarks // 4], rest[: landmarks // 4]]
     chosen = np.sort(np.unique(chosen))
     cells = cells_of(tokens, one[chosen])
@@ -287,7 +297,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     value, vector = np.linalg.eigh((grid + grid.T) / 2)
     good = value > 1e-6 * value.max()
     whiten = vector[:, good] / np.sqrt(value[good])
-    wrong = np.unique(np.r_[hard[:6000], rest[:6000]])
+    wrong = np.unique(np.r_[hard[:HARD], rest[:HARD]])
     right = np.unique(np.r_[seeds, np.flatnonzero((in_toxic >= 3) & (in_clean == 0))])
     variants = disguised([data_of(tokens, one[i]) for i in seeds])
     extra = np.frombuffer(b" ".join(variants), dtype=np.uint8)
@@ -311,7 +321,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         above = np.flatnonzero((g > 0) & (in_toxic > 0) & (in_clean == 0))
         right = np.unique(np.r_[best[in_clean[best] == 0], above]) if len(best) else right
         clean = np.flatnonzero(in_clean > 0)
-        worst = clean[np.argsort(-g[clean], kind="stable")[:3000]]
+        worst = clean[np.argsort(-g[clean], kind="stable")[:WORST]]
         wrong = np.unique(np.r_[wrong, worst])
         if not len(right):
             right = seeds
@@ -341,30 +351,23 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clea
     return Model(None if row["t"] is None else np.frombuffer(bytes(row["t"]), dtype=np.float32), row["bias"], row["slope"], row["offset"])
 
 
-def score_column(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs (or those of keep) and score, a double."""
-    names = [c for c in (keep or docs.columns) if c != "score"]
-    inputs = docs.select(*names, F.col("text").alias("_text"))
-    kept = docs.select(*names)
-    n = len(names)
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """_whole, the rows of docs, and score, a double. The text travels once, inside its row."""
+    rows = packed(docs)
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.score(data, offsets) for _, _, data, offsets in blocks(batch.column(n))]
+            texts = pc.struct_field(batch.column(0), [place])
+            parts = [model.score(data, offsets) for _, _, data, offsets in blocks(texts)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores)], names=[*names, "score"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_whole", "score"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-    return inputs.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return arrow_map(rows, run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
-    out = score_column(docs.withColumn("doc_id", F.col("doc_id").cast("long")), fit(docs, labels), ["doc_id"])
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels)).select("_whole.doc_id", "score")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, keyed, with_ids, written
+from .common import arrow_map, arrow_schema, keyed, packed, with_ids, written
 from .graph import components
 from .kernel import ALNUM_SPLIT, Hasher, U, Words, blocks, gram_hash, mix, ragged
 
@@ -298,7 +298,6 @@ def classify(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The first document of each class, with the columns of docs."""
-    columns = docs.columns
-    keys, _ = keyed(docs)
+    keys, _ = keyed(packed(docs, "doc_id", "text"), "_whole")
     classes = near_duplicates(keys, **options)
-    return keys.join(classes.filter("_k = root").select("_k"), "_k", "left_semi").select(*columns)
+    return keys.join(classes.filter("_k = root").select("_k"), "_k", "left_semi").select("_whole.*")

@@ -10,14 +10,16 @@ Slots: rows of a unit are cut in cells by hash, cells are counted, and a row's s
 plus its rank in the cell, so that no task orders a whole shard.
 
 Size is the text's UTF-8 bytes plus 8; a null text has none and shares a group with other null texts.
-Empty texts form a group of their own. Repeated rows get a slot each. Other columns pass through.
+Empty texts form a group of their own. Repeated rows get a slot each. Slots follow the rows' place in the
+input files, so another layout of the same rows gives other slots, all gapless. Other columns are carried
+on if asked for; one that is named like an operator's own gets an underscore.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -39,16 +41,33 @@ def lpt(units: list[tuple[int, str]], shards: int) -> dict[str, int]:
     return out
 
 
+OWN = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def plain_columns(docs: DataFrame, size: Column, text: Column, mark: Column) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), mark.alias("mark")]
+
+
+def carried(columns: list[str]) -> dict[str, str]:
+    """The names under which the columns of a table are carried on: one that the operator has too gets underscores."""
+    out: dict[str, str] = {}
+    for c in columns:
+        name = c
+        while name.lower() in OWN or (name != c and name.lower() in {x.lower() for x in [*columns, *out.values()]}):
+            name += "_"
+        out[c] = name
+    return out
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, units_per_shard: int = UNITS_PER_SHARD, carry: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row; carry adds the other columns."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     mark = F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.md5("text"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), mark.alias("mark"))
+    plain = docs.select(*plain_columns(docs, size, text, mark))
     if carry:
-        keep = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "mark", "row")]
-        plain = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in keep], size.alias("size"), F.crc32(text).alias("text_crc32"), mark.alias("mark"))
+        plain = docs.select(*plain_columns(docs, size, text, mark), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
     sized = written(plain.withColumn("row", F.monotonically_increasing_id()), "sized")
     total, rows = sized.agg(F.sum("size"), F.count("*")).first()
     most = shards * units_per_shard
@@ -56,7 +75,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, units_per_shard: int =
     bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("mark"), F.lit(most)).cast("string"))
     groups = sized.groupBy("mark").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     units = groups.groupBy(F.when(F.col("size") >= least, F.col("mark")).otherwise(bundle).alias("unit")).agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()
-    shard_of = lpt([(u["size"], u["unit"]) for u in units], shards)
+    shard_of = lpt([(u["size"], u["unit"]) for u in units], shards)  # ties by name
     cell_rows = max(CELL_ROWS, (rows or 0) // MAX_CELLS)
     table = spark.createDataFrame([(u["unit"], shard_of[u["unit"]], -(-u["n"] // cell_rows)) for u in units], "unit string, shard int, cells long")
     # at most 2 x shards x units_per_shard entries, whatever the input
@@ -68,5 +87,5 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, units_per_shard: int =
     offsets = cells.select("unit", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("unit", "cell").orderBy(F.col("doc_id").asc_nulls_last(), "row"))
     slotted = placed.join(F.broadcast(offsets), ["unit", "cell"]).withColumn("slot", F.col("offset") + rank - 1)
-    extra = [c for c in plain.columns if c not in ("doc_id", "size", "text_crc32", "mark")]
+    extra = [F.col("whole").getField(c).alias(name) for c, name in carried(docs.columns).items() if c != "doc_id"] if carry else []
     return slotted.select("doc_id", *extra, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -19,6 +19,7 @@ documents are rows of their own. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ WIDTH = 10
 SHINGLE = 5
 #: Windows sent to the tasks at once: at most about 100 bytes each.
 BLOCK_WINDOWS = 200_000
+#: A word, before lower-casing.
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
 
 
 class Windows:
@@ -173,18 +176,22 @@ def scan(windows: list[np.ndarray], holders: list[list[str]], prefix: list[tuple
 
 
 def item_blocks(items: DataFrame, width: int, block_windows: int):
-    """Blocks of (ids, texts) whose windows are few enough; an item's windows never exceed its words."""
+    """Blocks of (ids, texts) of block_windows windows at most; a longer item is cut in pieces that share width - 1 words."""
     rows = items.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL").orderBy("item_id", "text")
     ids: list = []
     texts: list = []
     size = 0
     for row in rows.toLocalIterator():  # one partition at a time
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        size += 1 + row["text"].count(" ")
-        if size >= block_windows:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+        words = WORD.findall(row["text"].encode())
+        for start in range(0, max(1, len(words) - width + 1), block_windows):
+            piece = words[start : start + block_windows + width - 1]
+            many = max(1, len(piece) - width + 1)
+            if size + many > block_windows and ids:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(row["item_id"])
+            texts.append(b" ".join(piece).decode("utf-8", "replace"))
+            size += many
     if ids:
         yield ids, texts
 
@@ -242,8 +249,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: i
 
 def brute_force(docs: list[tuple], items: list[tuple], width: int = WIDTH) -> dict:
     """What find_leaks() must return, by the definition; for tests."""
-    import re
-
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
     windows: dict = {}
     for i, t in items:

@@ -96,3 +96,56 @@ def test_pipeline_equals_its_operators(spark, sf):
     taken = {r.doc_id: r.taken // r.size for r in op9.mix_sources(docs).filter("taken > 0").collect()}
     assert {r.doc_id: r["count"] for r in mixed} == taken
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+CLASH = ["_k", "_h", "_whole", "score", "score_", "mark", "row", "size", "size_", "shard", "slot", "law", "whole", "unit", "cell", "k", "root", "rep", "taken", "source_size", "r"]
+
+
+def test_stages_carry_columns_of_any_name(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = {1: "the calm river runs " * 3, 2: None, 3: "", 4: "green hills and stone houses by the sea " * 2}
+    rows = [(i, t, "s", *[f"{c}{i}" for c in CLASH]) for i, t in texts.items()] + [(4, texts[4], "s", *[f"{c}5" for c in CLASH])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASH))
+    want = {r[-1]: tuple(r) for r in rows}
+    kept = {"toxicity": {"r1", "r2", "r3", "r4", "r5"}, "decontamination": {"r1", "r2", "r3", "r4", "r5"}}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, sf).collect()
+        if name == "sharding":
+            names = {c: c if c not in ("size", "shard", "slot", "law") else c + ("__" if c == "size" else "_") for c in CLASH}
+            assert {tuple([r.doc_id, r.text, r.source, *[r[names[c]] for c in CLASH]]) for r in got} == set(want.values())
+            assert {r["size"] for r in got if r.text is None} == {8} and sorted(r.slot for r in got if r.text == texts[4]) != [0, 0]
+            continue
+        assert all(tuple(r) == want[r[-1]] for r in got), name
+        if name == "near_dedup":  # null and empty texts are equal, and so are the two rows of document 4
+            assert {r.doc_id for r in got} == {1, 2, 4} and len(got) == 3
+        elif name == "mixing":
+            assert all(r.text for r in got)
+        else:
+            assert {r[-1] for r in got} == kept[name]
+
+
+def test_a_cluster_must_name_a_shared_folder(monkeypatch):
+    from remora.llm import common
+
+    class Conf(dict):
+        def get(self, k, default=""):
+            return dict.get(self, k, default)
+
+    class Spark:
+        conf = Conf()
+
+        class sparkContext:
+            getConf = staticmethod(lambda: Conf({"spark.master": "spark://host:7077"}))
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Spark())
+
+
+def test_blocks_of_items_keep_their_bound(spark):
+    long = "\n".join(f"w{i}" for i in range(5000))
+    df = spark.createDataFrame([(1, long), (2, "a b c"), (2, None), (3, "x " * 30)], "item_id long, text string")
+    found = list(op10.item_blocks(df, 10, 700))
+    sizes = [len(op10.Windows(ids, texts, 10).words) for ids, texts in found]
+    assert max(sizes) <= 700 and len(found) > 7
+    every = {w.tobytes() for ids, texts in found for w in op10.Windows(ids, texts, 10).words}
+    assert every == {w.tobytes() for w in op10.Windows([1, 2, 3], [long, "a b c", "x " * 30], 10).words}

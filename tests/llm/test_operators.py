@@ -425,3 +425,25 @@ def test_op10_equals_brute_force(spark):
     for most in (200_000, 20):
         got = {r[0]: tuple(r[1:]) for r in op10.find_leaks(a, b, block_windows=most).drop("items", "hits").collect()}
         assert got == want
+
+
+def test_op2_single_windows_are_compared_as_by_definition():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        width = 12
+        theirs = rng.integers(0, 30, 60).astype(np.uint64)
+        own = np.concatenate([rng.integers(0, 60, 10), theirs[20:40], rng.integers(0, 60, 15)]).astype(np.uint64)
+        order = np.argsort(theirs, kind="stable")
+        ranked = theirs[order]
+        at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
+        match = ranked[at] == own
+        starts = np.array([s for s in range(len(own) - width + 1) if match[s : s + width].any()])
+        rows = op2.single_windows(own, theirs, ranked, order, at, match, starts, width, step=7)
+        for i, s in enumerate(starts):
+            inside = np.flatnonzero(match[s : s + width]) + s
+            x, y = int(inside[0]), int(inside[-1]) + 1
+            middle = int(np.median(order[at[inside]] - inside))
+            a, b = max(0, x + middle), min(len(theirs), y + middle)
+            p, q = set(own[x:y].tolist()), set(theirs[a:b].tolist())
+            assert (rows[0][i], rows[1][i], rows[2][i], rows[3][i]) == (x, y, a, b)
+            assert abs(rows[4][i] - len(p & q) / max(1, len(p | q))) < 1e-12
