@@ -6,6 +6,8 @@ columns (q_id, memory_id, rank). Scores are ordered by their value to nine digit
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,20 @@ def doc_stats(posts: DataFrame) -> DataFrame:
     return posts.select("memory_id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings, how many documents hold each token, and one row about the documents; computed or stored."""
+
+    posts: DataFrame
+    df: DataFrame
+    stats: DataFrame
+
+
+def index_of(memories: DataFrame, index: str = "raw") -> Index:
+    posts = postings(memories, index)
+    return Index(posts, token_df(posts), doc_stats(posts))
+
+
 def query_tokens(queries: DataFrame, df: DataFrame, index: str = "raw") -> DataFrame:
     tokens = X.raw_tokens(F.col("query")) if index == "raw" else F.array_distinct(F.transform(X.summary_tokens(F.col("query")), F.lower))
     t = queries.select("q_id", "user_id", tokens.alias("tokens")).select("q_id", "user_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token"))
@@ -51,15 +67,21 @@ def query_tokens(queries: DataFrame, df: DataFrame, index: str = "raw") -> DataF
     return t.withColumn("rare", rare)
 
 
-def bm25(queries: DataFrame, memories: DataFrame, index: str = "raw", top: int | None = None) -> DataFrame:
+def index_upsert(posts: DataFrame, changed: DataFrame, index: str = "raw") -> DataFrame:
+    """posts with the changed memories indexed anew: what the index had of them goes."""
+    kept = posts.join(changed.select("memory_id"), "memory_id", "left_anti")
+    return kept.unionByName(postings(changed, index).select(*posts.columns))
+
+
+def bm25(queries: DataFrame, memories: DataFrame | Index, index: str = "raw", top: int | None = None) -> DataFrame:
     """Ranked hits of the first rung of the ladder that has any: all tokens, both rarest, either, any.
 
     A document's rung is the first that it satisfies; the smallest rung of a query is the one it gets,
-    and only that rung's tokens score.
+    and only that rung's tokens score. memories may be an index that is built already.
     """
-    posts = postings(memories, index)
-    tokens = query_tokens(queries, token_df(posts), index)
-    hit = tokens.join(posts, ["token", "user_id"]).crossJoin(F.broadcast(doc_stats(posts)))  # one row
+    built = memories if isinstance(memories, Index) else index_of(memories, index)
+    tokens = query_tokens(queries, built.df, index)
+    hit = tokens.join(built.posts, ["token", "user_id"]).crossJoin(F.broadcast(built.stats))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     term = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
@@ -73,14 +95,61 @@ def bm25(queries: DataFrame, memories: DataFrame, index: str = "raw", top: int |
     return ranked(by.select("q_id", "memory_id", "rung", "score"), F.col("score"), top)
 
 
-def semantic(queries: DataFrame, memories: DataFrame, top: int | None = None) -> DataFrame:
-    """Cosine of hash vectors with a user's own memories, and the score with heat and use."""
+def vectors(memories: DataFrame) -> DataFrame:
+    return memories.select("memory_id", "user_id", "heat", "count", X.hash_vector(candidate_text()).alias("mv"))
+
+
+def similar(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """Cosine of hash vectors with a user's own memories, and the score with heat and use; memories may be vectors()."""
     q = queries.select("q_id", "user_id", X.hash_vector(F.col("query")).alias("qv"))
-    m = memories.select("memory_id", "user_id", "heat", "count", X.hash_vector(candidate_text()).alias("mv"))
+    m = memories if "mv" in memories.columns else vectors(memories)
     sim = X.cosine(F.col("qv"), F.col("mv"))
     both = q.join(m, "user_id").select("q_id", "memory_id", "user_id", "heat", "count", sim.alias("sim"))
     score = F.col("sim") + 0.1 * F.least(F.lit(1.0), F.col("heat") / 50) + 0.1 * F.least(F.lit(1.0), F.col("count") / 10)
-    return ranked(both.withColumn("score", score), F.col("score"), top)
+    return both.withColumn("score", score)
+
+
+def semantic(queries: DataFrame, memories: DataFrame, top: int | None = None) -> DataFrame:
+    """The most similar memories; with a top, tasks keep so many of a query each before anything is shuffled."""
+    return ranked(similar(queries, memories), F.col("score"), top)
+
+
+def semantic_kept(queries: DataFrame, memories: DataFrame, top: int = ROUTE_TOP, least: float = 0.15) -> DataFrame:
+    """The best memories that are similar enough, or the best of all where a query has no such."""
+    order = Window.partitionBy("q_id").orderBy((F.col("sim") >= least).desc(), F.round("score", 9).desc(), "memory_id")
+    best = similar(queries, memories).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    any_good = F.max("sim").over(Window.partitionBy("q_id")) >= least
+    return best.withColumn("any_good", any_good).filter(~F.col("any_good") | (F.col("sim") >= least)).drop("any_good")
+
+
+#: The routes that a query's language lets through, and the lexical index that it asks.
+ROUTES = ("semantic", "entity", "time", "lexical")
+ROUTE_LANG = {"semantic": ("zh", "en"), "entity": ("zh",), "time": ("zh", "en"), "lexical": ("zh", "en")}
+LEXICAL_INDEX = {"zh": "summary", "en": "raw"}
+
+
+def enabled_routes(setting: str | None) -> set[str]:
+    """The known routes of a comma-separated list; the semantic one if there is none."""
+    wanted = {x.strip().lower() for x in (setting if setting is not None else ",".join(ROUTES)).split(",")}
+    return wanted & set(ROUTES) or {"semantic"}
+
+
+def route_lists(queries: DataFrame, memories: DataFrame, vecs: DataFrame, indexes: dict[str, Index], routes: str | None = None) -> dict[str, DataFrame]:
+    """The ranked lists of the enabled routes, each for the queries whose language it takes."""
+    on = enabled_routes(routes)
+    asked = queries.withColumn("lang", X.query_lang(F.col("query")))
+    of = lambda *langs: asked.filter(F.col("lang").isin(*langs)).drop("lang")
+    sem = semantic_kept(queries, vecs)
+    lists = {"semantic": sem}
+    if "entity" in on:
+        allowed = of(*ROUTE_LANG["entity"])
+        lists["entity"] = entity_route(entity_seeds(sem.join(allowed.select("q_id"), "q_id", "left_semi"), memories, allowed), memories)
+    if "time" in on:
+        lists["time"] = time_route(of(*ROUTE_LANG["time"]), memories, sem)
+    if "lexical" in on:
+        by = [bm25(of(lang), indexes[i], i, ROUTE_TOP).select("q_id", "memory_id", "rank") for lang, i in LEXICAL_INDEX.items()]
+        lists["lexical"] = by[0].unionByName(by[1])
+    return {n: df for n, df in lists.items() if n in on or len(on) == 0}
 
 
 def above(df: DataFrame, least: float = 0.15) -> DataFrame:
@@ -164,7 +233,7 @@ def rerank_blend(rows: DataFrame, pool: int) -> DataFrame:
     return rows.filter(F.col("rank") <= pool).withColumns({"span": span, "place": place, "size": size}).withColumn("final_score", final)
 
 
-def budget_clip(rows: DataFrame, max_tokens: int = 5000, max_items: int = 10) -> DataFrame:
+def budget_clip(rows: DataFrame, max_tokens: int = 5000, max_items: int | Column = 10) -> DataFrame:
     """The longest prefix of a query's rows within both budgets; a token is 2.5 characters."""
     upto = F.sum(F.length("summary") / 2.5).over(Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("tokens", upto).filter((F.col("tokens") <= max_tokens) & (F.col("rank") <= max_items))
@@ -173,7 +242,10 @@ def budget_clip(rows: DataFrame, max_tokens: int = 5000, max_items: int = 10) ->
 def neighbours(hits: DataFrame, memories: DataFrame, window: int = 2) -> DataFrame:
     """(q_id, hit_rank, memory_id, position): memories within `window` of a hit in its session, once each."""
     order = Window.partitionBy("user_id", "session_id").orderBy("seq", "memory_id")
-    place = memories.select("memory_id", "user_id", "session_id", F.row_number().over(order).alias("position"))
+    # only sessions that hold a hit are numbered
+    asked = hits.select("memory_id").distinct().join(memories.select("memory_id", "user_id", "session_id"), "memory_id").select("user_id", "session_id").distinct()
+    place = memories.select("memory_id", "user_id", "session_id", "seq").join(asked, ["user_id", "session_id"], "left_semi")
+    place = place.select("memory_id", "user_id", "session_id", F.row_number().over(order).alias("position"))
     around = hits.select("q_id", "memory_id", F.col("rank").alias("hit_rank")).join(place, "memory_id")
     # an equi-join on the exact position, not a range: one row for each step of the window
     around = around.withColumn("position", F.explode(F.sequence(F.col("position") - window, F.col("position") + window)))
@@ -209,7 +281,7 @@ def recency_blend(rows: DataFrame, weight: float = 0.2) -> DataFrame:
 
 
 def payload(rows: DataFrame, memories: DataFrame) -> DataFrame:
-    """What is delivered: the dated text, its speaker and where it comes from."""
+    """What is delivered: the dated text, its speaker, where it comes from, and the score of rows that have one."""
     m = memories.select("memory_id", "user_id", "session_id", "summary", "created_at", "source_date")
     split = F.instr("summary", ": ")
     return rows.join(m, "memory_id").select(
@@ -219,9 +291,12 @@ def payload(rows: DataFrame, memories: DataFrame) -> DataFrame:
         F.concat(F.lit("["), F.date_format("source_date", "yyyy-MM-dd"), F.lit("] "), "summary").alias("content"),
         F.when(split > 0, F.expr("substring(summary, instr(summary, ': ') + 2)")).otherwise(F.col("summary")).alias("text"),
         F.when(split > 0, F.expr("substring(summary, 1, instr(summary, ': ') - 1)")).otherwise("").alias("role"),
+        F.nullif(F.when(split > 0, F.expr("substring(summary, 1, instr(summary, ': ') - 1)")), F.lit("")).alias("speaker"),
         "session_id",
         "user_id",
         "created_at",
+        F.date_format("source_date", "yyyy-MM-dd").alias("source_date"),
+        F.round("score", 8).alias("score"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 #: Columns that an upsert overwrites; the others keep what the store has.
 CONTENT = ["summary", "content", "role", "task_type", "session_id", "time_bucket", "core_entities", "created_at", "source_date", "seq"]
@@ -43,18 +45,32 @@ def has_any(entities: Column, wanted: list[str]) -> Column:
     return F.arrays_overlap(entities, F.array(*[F.lit(w) for w in wanted]))
 
 
-def phase1(df: DataFrame, wanted: list[str] | None = None, limit: int = 1000) -> DataFrame:
-    """The hottest rows, cut first and filtered by entity after."""
-    top = df.orderBy(F.col("heat").desc(), F.col("created_at").desc(), "memory_id").limit(limit)
-    return top.filter(has_any(F.col("core_entities"), wanted)) if wanted else top
+def phase1(df: DataFrame, queries: DataFrame, limit: int = 1000) -> DataFrame:
+    """(q_id, memory_id) of each query's user: the hottest rows, cut first and filtered by the wanted entities after.
+
+    queries has q_id, user_id and wanted, an array; an empty one is no predicate.
+    """
+    order = Window.partitionBy("q_id").orderBy(F.col("heat").desc(), F.col("created_at").desc(), "memory_id")
+    rows = queries.join(df.select("user_id", "memory_id", "heat", "created_at", "core_entities"), "user_id")
+    top = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+    return top.filter((F.size("wanted") == 0) | F.arrays_overlap("core_entities", "wanted")).select("q_id", "memory_id")
+
+
+def at_place(df: DataFrame, column: str, place: DataFrame, ascending: bool = True) -> DataFrame:
+    """The row whose value stands at `at` (from 0; one row of `place`) in order; values are range-sorted, not gathered in one task."""
+    order = F.col(column).asc() if ascending else F.col(column).desc()
+    ranged = written(df.select(column).repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranged")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", before).crossJoin(place)  # a row for each partition
+    wanted = parts.filter((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("n")))
+    rows = ranged.join(F.broadcast(wanted), "part").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1)
+    return rows.filter("place = at").select(column)
 
 
 def heat_percentile(df: DataFrame, p: float) -> DataFrame:
     """The heat at place floor(n * (1 - p)) of the heats in descending order."""
-    n = df.agg(F.count("*").alias("n")).select("n", F.floor(F.col("n") * (F.lit(1.0) - F.lit(float(p)))).alias("at"))
-    counts = df.groupBy("heat").agg(F.count("*").alias("many"))  # a row for each value, not each memory
-    upto = counts.withColumn("upto", F.sum("many").over(Window.orderBy(F.col("heat").desc())))
-    return upto.crossJoin(F.broadcast(n)).filter("upto > at").agg(F.max("heat").alias("heat"))
+    n = df.agg(F.floor(F.count("*") * (F.lit(1.0) - F.lit(float(p)))).alias("at"))
+    return at_place(df, "heat", n, ascending=False)
 
 
 def vec_cache_key(model: str, text: Column) -> Column:
@@ -76,6 +92,11 @@ def vec_cache_prune(cache: DataFrame, keep: DataFrame) -> DataFrame:
     return cache.join(keep.select("key"), "key", "left_semi")
 
 
+def vec_cache_clear(cache: DataFrame, path: str) -> None:
+    """The cache's table at path without a row."""
+    cache.limit(0).write.mode("overwrite").parquet(path)
+
+
 def heat_update(df: DataFrame, deltas: DataFrame) -> DataFrame:
     d = deltas.groupBy("memory_id").agg(F.sum("d_heat").alias("d_heat"), F.sum("d_count").alias("d_count"))
     out = df.join(d, "memory_id", "left")
@@ -86,17 +107,44 @@ def heat_decay(heat: Column, days: Column, rate: float = 0.05) -> Column:
     return F.greatest(F.lit(0.0), heat * F.exp(-rate * days))
 
 
-def cold_index(lines: DataFrame) -> DataFrame:
-    """(date, line, entry) of a vault's JSON lines as its index: bad lines out, ids recomputed, the last of an id stays."""
-    e = F.from_json("entry", "struct<id:string,entry_id:string,user:string,assistant:string,text:string,summary:string>")
-    rows = lines.withColumn("e", e).withColumn("eid", F.coalesce("e.id", "e.entry_id")).filter("eid IS NOT NULL")
-    rows = rows.withColumn("memory_id", F.substring(F.md5(F.concat_ws("#", "date", "eid")), 1, 12))
+ENTRY = "struct<id:string,entry_id:string,user:string,assistant:string,text:string,summary:string>"
+
+
+def entries(lines: DataFrame) -> DataFrame:
+    """(date, line, entry) of a vault's JSON lines with what they hold; those without an id have a null eid."""
     text, label = source_text("e")
-    rows = rows.withColumn("source_text", text).withColumn("source", label)
+    rows = lines.withColumn("e", F.from_json("entry", ENTRY)).withColumn("eid", F.coalesce("e.id", "e.entry_id"))
+    rows = rows.withColumn("memory_id", F.when(F.col("eid").isNotNull(), F.substring(F.md5(F.concat_ws("#", "date", "eid")), 1, 12)))
+    return rows.withColumn("source_text", text).withColumn("source", label)
+
+
+def cold_index(lines: DataFrame) -> DataFrame:
+    """The vault's index: bad lines out, ids recomputed, the last of an id stays."""
     last = Window.partitionBy("memory_id").orderBy(F.col("line").desc())
+    rows = entries(lines).filter("eid IS NOT NULL")
     return rows.withColumn("n", F.row_number().over(last)).filter("n = 1").select("memory_id", "date", "eid", "line", "source_text", "source")
 
 
+def cold_locate(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first line of each wanted memory_id."""
+    first = Window.partitionBy("memory_id").orderBy("line")
+    rows = entries(lines).filter("eid IS NOT NULL").join(wanted.select("memory_id").distinct(), "memory_id", "left_semi")
+    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("memory_id", "date", "eid", "line", "source_text", "source")
+
+
+def vault_stats(lines: DataFrame) -> DataFrame:
+    """Counts of a rebuild: lines, rows, what was passed over and why, and where the texts are from."""
+    kind = F.get_json_object("entry", "$")
+    bad, array = kind.isNull(), kind.isNotNull() & ~F.trim(kind).startswith("{")
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    known = F.col("eid").isNotNull()
+    return entries(lines).agg(
+        F.count("*").alias("scanned"), F.count("eid").alias("rows"), count(bad, "bad_lines"), count(array, "no_objects"), count(~known & ~bad & ~array, "no_ids"),
+        *[count(known & (F.col("source") == s), s if s != "none" else "no_text") for s in ("orig", "text", "summary", "none")],
+        F.countDistinct("memory_id").alias("ids"), F.countDistinct("date").alias("days"),
+    )
+
+
 def source_text(e: str) -> tuple[Column, Column]:
     """The original exchange, else the text, else the summary; and which it is."""
     full = lambda c: F.nullif(F.trim(F.coalesce(f"{e}.{c}", F.lit(""))), F.lit(""))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as R
+from ..operators import store as S
 from ..sources import connectors as C
 from ..sources import views as V
-from .retrieval_queries import ALL, BASE, ENT, IDF, POSTS, RAW, SEM, _base, _clipped, _CLIP, _NEAR, tokens_sql
+from .retrieval_queries import ALL, BASE, ENT, GOLD, HASH, LANG, POSTS, RAW, SEM, _base, _clipped, _CLIP, _gold, _index, _lists, _NEAR, _vectors, tokens_sql
 from .store_queries import MEM
 
 QUERIES: dict = {}
@@ -47,10 +48,14 @@ def compose_summary(spark, sf_dir):
     return V.memories(spark, sf_dir).select("memory_id", F.concat("role", F.lit(": "), "content").alias("summary"))
 
 
-@query("SELECT * FROM (VALUES (0, 2), (1, 0), (2, 0), (3, 0)) v(n, items)")
+_LIST = "CASE turn % 4 WHEN 0 THEN '[\"a\", \"' || role || '\"]' WHEN 1 THEN 'broken [' || role WHEN 2 THEN NULL ELSE '[]' END"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN json_valid(j) THEN json_array_length(j::JSON)::INT ELSE 0 END AS items, coalesce(CASE WHEN json_valid(j) THEN json_extract_string(j::JSON, '$[1]') END, '') AS second FROM (SELECT conv_id, turn, {_LIST} AS j FROM conversations)")
 def json_arrays(spark, sf_dir):
-    df = spark.createDataFrame([(0, '["a", "b"]'), (1, "broken ["), (2, None), (3, "[]")], "n int, j string")
-    return df.select("n", F.size(F.coalesce(F.from_json("j", "array<string>"), F.array().cast("array<string>"))).alias("items"))
+    """Arrays in JSON; what is broken or missing counts as empty."""
+    j = F.coalesce(F.from_json(F.expr(_LIST), "array<string>"), F.array().cast("array<string>"))
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(j).alias("items"), F.coalesce(F.get(j, F.lit(1)), F.lit("")).alias("second"))
 
 
 @query(f"{MEM} SELECT memory_id, row_number() OVER (PARTITION BY user_id, session_id ORDER BY seq, memory_id) AS position FROM memories")
@@ -79,10 +84,13 @@ def join_raw_meta_mem(spark, sf_dir):
     return meta.join(m.select("memory_id", F.length("content").alias("chars")), "memory_id")
 
 
-@query(f"{BASE}, {IDF} SELECT user_id, entity, count(DISTINCT memory_id) AS n FROM ent GROUP BY user_id, entity HAVING count(DISTINCT memory_id) >= 2")
+@query(f"{BASE}, {SEM}, {ENT} SELECT q_id, entity, memory_id FROM seeds JOIN ent USING (user_id, entity)")
 def join_inverted(spark, sf_dir):
-    e = V.doc_memories(spark, sf_dir).select("user_id", "memory_id", F.explode("core_entities").alias("entity"))
-    return e.groupBy("user_id", "entity").agg(F.countDistinct("memory_id").alias("n")).filter("n >= 2")
+    """Each query's seeds with the memories that their inverted lists name."""
+    q, m = _base(spark, sf_dir)
+    e = m.select("user_id", "memory_id", F.explode("core_entities").alias("entity")).distinct()
+    seeds = R.entity_seeds(R.semantic_kept(q, _vectors(spark, sf_dir)), m, q)
+    return seeds.join(e, ["user_id", "entity"]).select("q_id", "entity", "memory_id")
 
 
 @query(f"{BASE} SELECT memory_id, substring(coalesce(nullif(content, ''), summary), 1, 512) AS head FROM docs")
@@ -90,47 +98,48 @@ def raw_heads(spark, sf_dir):
     return V.doc_memories(spark, sf_dir).select("memory_id", F.substring(F.coalesce(F.nullif("content", F.lit("")), "summary"), 1, 512).alias("head"))
 
 
-@query(f"{ALL} SELECT DISTINCT f.q_id FROM fused f JOIN docs USING (memory_id) JOIN benchmark b ON b.item_id = f.q_id AND contains(content, b.text) WHERE f.rank <= 30")
-def gold_semi(spark, sf_dir):
-    from .retrieval_queries import _fused
-
-    _, m, fused = _fused(spark, sf_dir)
-    items = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), "text")
-    hits = fused.filter("rank <= 30").join(m.select("memory_id", "content"), "memory_id").join(items, "q_id").filter(F.contains("content", "text"))
-    return items.join(hits.select("q_id"), "q_id", "left_semi").select("q_id")
-
-
-@query(f"{BASE} SELECT q_id, query, CASE WHEN regexp_matches(query, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'summary' ELSE 'raw' END AS index FROM queries")
+@query(f"{BASE}, {LANG} SELECT q_id, query, CASE WHEN lang = 'zh' THEN 'summary' ELSE 'raw' END AS index FROM queries JOIN qlang USING (q_id)")
 def pick_lexical(spark, sf_dir):
     q = V.query_batch(spark, sf_dir)
     return q.select("q_id", "query", F.when(X.query_lang(F.col("query")) == "zh", "summary").otherwise("raw").alias("index"))
 
 
-@query(f"{BASE}, r(route, zh, en) AS (VALUES ('semantic', true, true), ('entity', true, false), ('time', true, true), ('lexical', true, true)) SELECT q_id, route FROM queries, r WHERE en")
+@query(f"{BASE}, {LANG}, r(route, zh, en) AS (VALUES ('semantic', true, true), ('entity', true, false), ('time', true, true), ('lexical', true, true)) SELECT q_id, route FROM qlang, r WHERE CASE WHEN lang = 'zh' THEN zh ELSE en END")
 def lang_gate(spark, sf_dir):
     """The routes that a query's language lets through."""
-    policy = spark.createDataFrame([(r, lang) for r, zh, en in [("semantic", True, True), ("entity", True, False), ("time", True, True), ("lexical", True, True)] for lang, ok in (("zh", zh), ("en", en)) if ok], "route string, lang string")
+    policy = spark.createDataFrame([(r, lang) for r, langs in R.ROUTE_LANG.items() for lang in langs], "route string, lang string")
     return V.query_batch(spark, sf_dir).select("q_id", X.query_lang(F.col("query")).alias("lang")).join(F.broadcast(policy), "lang").select("q_id", "route")
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(trim(text)) < 2 THEN '' ELSE array_to_string(list_filter(list_transform(range(1, greatest(length(text), 2)), lambda i: trim(substring(text, i::INT, 2))), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$'))[1:1], '|') END AS first_pair FROM conversations")
+@query("""WITH p AS (SELECT conv_id, turn, text, list_filter(list_transform(range(1, greatest(length(text), 2)), lambda i: trim(substring(text, i::INT, 2))), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$')) AS l FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(trim(text)) < 2 THEN '' ELSE array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:8], '|') END AS entities FROM p""")
 def query_entities(spark, sf_dir):
-    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.slice(X.query_bigrams(F.col("text")), 1, 1), "|").alias("first_pair"))
+    """The fallback without a segmenter: all character pairs that may be names, eight at most."""
+    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.query_bigrams(F.col("text")), "|").alias("entities"))
+
 
+_VALUES = "v AS (SELECT conv_id, min(text) AS delivered, string_agg(text, ' ' ORDER BY turn) AS history, ['the', 'a', substring(max(text), 1, 12), conv_id::VARCHAR || ' days'] AS vals FROM conversations GROUP BY conv_id)"
 
-@query("SELECT * FROM (VALUES (0, ''), (1, '14 days'), (2, '')) v(n, missing)")
+
+@query(f"""WITH {_VALUES}, k AS (SELECT *, list_filter(vals, lambda x: (length(history) - length(replace(history, x, ''))) / length(x) <= 5) AS known FROM v),
+m AS (SELECT *, list_filter(known, lambda x: NOT contains(delivered, x)) AS missing FROM k)
+SELECT conv_id, CASE WHEN len(missing) < len(known) THEN '' ELSE array_to_string(missing, '|') END AS missing FROM m""")
 def absent_in(spark, sf_dir):
-    df = spark.createDataFrame([(0, "it took 14 days", "x 14 days", ["14 days", "$3"]), (1, "nothing", "it took 14 days", ["14 days"]), (2, "nothing", "a a a a a a", ["a"])], "n int, delivered string, history string, vals array<string>")
-    return df.select("n", F.array_join(X.absent_values(F.col("delivered"), F.col("history"), F.col("vals")), "|").alias("missing"))
+    """Values that tell a conversation apart and that its smallest text does not hold."""
+    c = V.table(spark, sf_dir, "conversations")
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
+    vals = F.array(F.lit("the"), F.lit("a"), F.substring(F.max("text"), 1, 12), F.concat(F.col("conv_id").cast("string"), F.lit(" days")))
+    v = c.groupBy("conv_id").agg(F.min("text").alias("delivered"), said.alias("history"), vals.alias("vals"))
+    return v.select("conv_id", F.array_join(X.absent_values(F.col("delivered"), F.col("history"), F.col("vals")), "|").alias("missing"))
 
 
-@query(f"{BASE}, {POSTS} SELECT memory_id, token FROM posts")
+@query(f"""{BASE}, {tokens_sql('du', "(SELECT * REPLACE (CASE WHEN session_id LIKE '%-fr' THEN 'replaced entry ' || substring(content, 40) ELSE content END AS content) FROM docs)", 'content')}
+SELECT memory_id, unnest(tokens) AS token, len(tokens) AS dl FROM du""")
 def index_upsert(spark, sf_dir):
-    """Postings after the French documents are indexed anew: theirs out, the new ones in."""
+    """The stored index after the French documents have changed: their old postings out, the new ones in."""
     m = V.doc_memories(spark, sf_dir)
-    changed = m.filter("session_id LIKE '%-fr'")
-    old = R.postings(m, "raw").join(changed.select("memory_id"), "memory_id", "left_anti")
-    return old.unionByName(R.postings(changed, "raw")).select("memory_id", "token")
+    changed = m.filter("session_id LIKE '%-fr'").withColumn("content", F.concat(F.lit("replaced entry "), F.expr("substring(content, 40)")))
+    return R.index_upsert(_index(spark, sf_dir).posts, changed, "raw").select("memory_id", "token", "dl")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT label) AS labels, array_to_string(list_sort(list(DISTINCT len(embedding))), ',') AS dims FROM embeddings")
@@ -140,23 +149,33 @@ def distinct_sets(spark, sf_dir):
     return V.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), dims.alias("dims"))
 
 
-@query("SELECT doc_id, round((('0x' || substring(sha256(text), 1, 2))::INT - 128) / 128.0::DOUBLE, 6) AS first_value FROM documents")
+@query(f"""WITH t AS (SELECT DISTINCT text, sha256('hash' || chr(0) || text) AS key FROM documents), v AS (SELECT key, unnest({HASH.format('text')}) AS v, generate_subscripts(range(0, 32), 1) AS i FROM t)
+SELECT key, round(sum(v), 6) AS total, round(sum(v * i), 6) AS weighted FROM v GROUP BY key""")
 def embed_candidates(spark, sf_dir):
-    """Vectors of all documents by the batch connector and its offline model."""
-    got = C.embed(V.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    return got.select("doc_id", F.round(F.get("vec", F.lit(0)), 6).alias("first_value"))
+    """Vectors of all texts: those of English documents from the cache, the others by the batch connector's offline model."""
+    d = V.table(spark, sf_dir, "documents").select(S.vec_cache_key("hash", F.col("text")).alias("key"), "text", "lang")
+    cache = d.filter("lang = 'en'").select("key", X.hash_vector(F.col("text")).alias("vec")).distinct()
+    got = C.embed_missing(d.select("key", "text").distinct(), cache)
+    got = got.select("key", F.posexplode("vec").alias("i", "v"))
+    return got.groupBy("key").agg(F.round(F.sum("v"), 6).alias("total"), F.round(F.sum(F.col("v") * (F.col("i") + 1)), 6).alias("weighted"))
 
 
-@query(f"{BASE}, {SEM} SELECT q_id, memory_id, rank FROM sem WHERE rank <= 20")
+@query(f"{BASE}, {SEM}, {ENT} SELECT q_id, memory_id, rank FROM semk")
 def semantic_route(spark, sf_dir):
+    """The list that semantic search gives to the fusion: what is similar enough."""
     q, m = _base(spark, sf_dir)
-    return R.semantic(q, m, 20).select("q_id", "memory_id", "rank")
+    return R.semantic_kept(q, _vectors(spark, sf_dir)).select("q_id", "memory_id", "rank")
 
 
-@query(f"{ALL} SELECT count(*) FILTER (l.rank <= 10) AS raw_hits, count(DISTINCT l.q_id) AS asked FROM lex l")
+@query(f"""{ALL}, {GOLD}, h AS (SELECT 'raw' AS index, q_id, memory_id FROM lex WHERE rank <= 10 UNION ALL SELECT 'summary', q_id, memory_id FROM slex WHERE rank <= 10)
+SELECT index, lang, count(DISTINCT q_id) AS asked, count(*) AS hits, count(*) FILTER (EXISTS (FROM gold WHERE gold.user_id = docs.user_id AND gold.session_id = docs.session_id)) AS gold_hits FROM h JOIN qlang USING (q_id) JOIN docs USING (memory_id) GROUP BY ALL""")
 def cross_lang_demo(spark, sf_dir):
+    """The first ten hits of both indexes by the query's language, and how many are from gold sessions."""
     q, m = _base(spark, sf_dir)
-    return R.bm25(q, m, "raw").agg(F.count(F.when(F.col("rank") <= 10, 1)).alias("raw_hits"), F.countDistinct("q_id").alias("asked"))
+    hits = [R.bm25(q, _index(spark, sf_dir, i), i, 10).select(F.lit(i).alias("index"), "q_id", "memory_id") for i in ("raw", "summary")]
+    rows = hits[0].unionByName(hits[1]).join(q.select("q_id", X.query_lang(F.col("query")).alias("lang")), "q_id").join(m.select("memory_id", "user_id", "session_id"), "memory_id")
+    rows = rows.join(_gold(spark, sf_dir).withColumn("gold", F.lit(1)), ["user_id", "session_id"], "left")
+    return rows.groupBy("index", "lang").agg(F.countDistinct("q_id").alias("asked"), F.count("*").alias("hits"), F.count("gold").alias("gold_hits"))
 
 
 @query(f"{_CLIP} SELECT q_id, count(*) AS items, sum(length(summary))::BIGINT AS chars FROM clip JOIN docs USING (memory_id) GROUP BY q_id")
@@ -174,7 +193,7 @@ def memory_langs(spark, sf_dir):
 def rerank_connector(spark, sf_dir):
     """Pairs of query and document through the scoring connector, with a word-overlap scorer."""
     q, m = _base(spark, sf_dir)
-    pairs = R.semantic(q, m, 12).select("q_id", "memory_id").join(q.select("q_id", "query"), "q_id").join(m.select("memory_id", F.col("content").alias("text")), "memory_id")
+    pairs = R.semantic(q, _vectors(spark, sf_dir), 12).select("q_id", "memory_id").join(q.select("q_id", "query"), "q_id").join(m.select("memory_id", F.col("content").alias("text")), "memory_id")
     overlap = lambda batch: [len(set(a.lower().split()) & set(b.lower().split())) / max(1, len(set(a.split()))) for a, b in batch]
     return C.score_pairs(pairs.select("q_id", "memory_id", "query", "text"), overlap)
 
@@ -184,24 +203,21 @@ SELECT q_id, memory_id, hits, row_number() OVER (PARTITION BY q_id ORDER BY roun
 def min_hits(spark, sf_dir):
     """The entity route where one shared entity is enough."""
     q, m = _base(spark, sf_dir)
-    seeds = R.entity_seeds(R.semantic(q, m, R.ROUTE_TOP), m, q)
+    seeds = R.entity_seeds(R.semantic_kept(q, _vectors(spark, sf_dir)), m, q)
     return R.entity_route(seeds, m, min_hits=1, top=50).select("q_id", "memory_id", "hits", "rank")
 
 
-@query(f"{BASE}, {SEM}, {IDF} SELECT DISTINCT q_id, e.user_id, entity FROM sem JOIN ent e USING (memory_id) WHERE rank <= 5")
+@query(f"{BASE}, {SEM}, {ENT} SELECT DISTINCT q_id, e.user_id, entity FROM semk JOIN ent e USING (memory_id) WHERE rank <= 5")
 def entity_seed(spark, sf_dir):
     """Entities of each query's best hits alone."""
     q, m = _base(spark, sf_dir)
-    return R.entity_seeds(R.semantic(q, m, R.ROUTE_TOP), m, q.filter("false"))
+    return R.entity_seeds(R.semantic_kept(q, _vectors(spark, sf_dir)), m, q.filter("false"))
 
 
-@query(f"{ALL} SELECT q_id, memory_id, round(coalesce(1.0::DOUBLE / (60 + semantic), 0) + coalesce(0.5::DOUBLE / (60 + entity), 0) + coalesce(2.0::DOUBLE / (60 + lexical), 0), 8) AS score FROM piv")
+@query(f"{ALL} SELECT q_id, memory_id, round(coalesce(1.0::DOUBLE / (60 + semantic), 0) + coalesce(0.5::DOUBLE / (60 + entity), 0) + coalesce(1.5::DOUBLE / (60 + time), 0) + coalesce(2.0::DOUBLE / (60 + lexical), 0), 8) AS score FROM piv")
 def rank_fuse(spark, sf_dir):
     """Reciprocal rank fusion with a weight for each route."""
-    q, m = _base(spark, sf_dir)
-    sem = R.semantic(q, m, R.ROUTE_TOP)
-    lists = {"semantic": sem, "entity": R.entity_route(R.entity_seeds(sem, m, q), m), "lexical": R.bm25(q, m, "raw", R.ROUTE_TOP)}
-    fused = R.rrf(lists, weights={"semantic": 1.0, "entity": 0.5, "lexical": 2.0})
+    fused = R.rrf(_lists(spark, sf_dir)[2], weights={"semantic": 1.0, "entity": 0.5, "time": 1.5, "lexical": 2.0})
     return fused.select("q_id", "memory_id", F.round("score", 8).alias("score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vocab import ENGLISH_STOP, SUMMARY_STOP
 from ..operators import retrieval as R
+from ..sources import tables as T
 from ..sources import views as V
 
 QUERIES: dict = {}
@@ -71,25 +72,47 @@ users AS (SELECT user_id, count(*) AS n FROM docs GROUP BY user_id),
 idf AS (SELECT user_id, entity, count(*) AS df, ln(any_value(n)::DOUBLE / count(*)) AS idf FROM ent JOIN users USING (user_id) GROUP BY user_id, entity)"""
 QENT = """qe AS (SELECT q_id, user_id, unnest(list_filter(regexp_extract_all(regexp_replace(query, '[^\\x00-\\x7F]', '_', 'g'), '\\b([A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]{2,})?)\\b', 1),
   lambda x: lower(x) NOT IN ('the','and','but','for','with','you','your','this','that','there','then','they','them','when','what','which','who'))) AS entity FROM queries)"""
-ENT = f"""{IDF}, {QENT}, seeds AS (SELECT q_id, user_id, entity FROM qe UNION SELECT q_id, e.user_id, entity FROM sem JOIN ent e USING (memory_id) WHERE rank <= 5),
+LANG = """qlang AS (SELECT q_id, CASE WHEN len(regexp_extract_all(query, '[\\x{4e00}-\\x{9fff}]')) / greatest(len(regexp_extract_all(query, '\\S')), 1) >= 0.15 THEN 'zh' ELSE 'en' END AS lang FROM queries)"""
+KEPT = """semk AS (SELECT * EXCLUDE (best, rank), place AS rank FROM (SELECT *, max(sim) OVER (PARTITION BY q_id) AS best, row_number() OVER (PARTITION BY q_id ORDER BY sim >= 0.15 DESC, round(score, 9) DESC, memory_id) AS place FROM sem) WHERE place <= 20 AND (sim >= 0.15 OR best < 0.15))"""
+ENT = f"""{KEPT}, {IDF}, {QENT}, seeds AS (SELECT q_id, user_id, entity FROM qe UNION SELECT q_id, e.user_id, entity FROM semk JOIN ent e USING (memory_id) WHERE rank <= 5),
 eh AS (SELECT q_id, memory_id, count(DISTINCT entity) AS hits, max(idf) AS score FROM seeds JOIN ent USING (user_id, entity) JOIN idf USING (user_id, entity) GROUP BY q_id, memory_id HAVING count(DISTINCT entity) >= 2),
 er AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, memory_id) AS rank FROM eh QUALIFY rank <= 20)"""
-RRF = """routes AS (SELECT q_id, memory_id, rank, 'semantic' AS route FROM sem WHERE rank <= 20 UNION ALL SELECT q_id, memory_id, rank, 'entity' FROM er UNION ALL SELECT q_id, memory_id, rank, 'lexical' FROM lex WHERE rank <= 20),
-piv AS (SELECT q_id, memory_id, min(rank) FILTER (route = 'semantic') AS semantic, min(rank) FILTER (route = 'entity') AS entity, min(rank) FILTER (route = 'lexical') AS lexical FROM routes GROUP BY q_id, memory_id),
-fused_s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + semantic), 0) + coalesce(1.0::DOUBLE / (60 + entity), 0) + coalesce(1.0::DOUBLE / (60 + lexical), 0) AS score FROM piv),
+#: Questions that name a date name the same month.
+TIME = """far AS (SELECT q_id, memory_id, greatest(DATE '2023-03-01' - source_date, source_date - DATE '2023-03-31', 0) AS distance FROM queries JOIN docs USING (user_id) WHERE contains(query, 'in March 2023')),
+tm AS (SELECT q_id, memory_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, semk.rank NULLS LAST, memory_id) AS rank FROM far LEFT JOIN semk USING (q_id, memory_id) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY distance, semk.rank NULLS LAST, memory_id) <= 20)"""
+SUMMARY = f"""{SUMMARY_POSTS}, qs AS (SELECT q_id, user_id, list_filter(summary_tokens, lambda x, i: list_position(summary_tokens, x) = i) AS tokens FROM qt), {bm25_sql('slex', 'qs', 'sposts', 'sdfs', 'sstats')}"""
+RRF = """asked AS (SELECT q_id, memory_id, rank FROM lex JOIN qlang USING (q_id) WHERE lang = 'en' AND rank <= 20 UNION ALL SELECT q_id, memory_id, rank FROM slex JOIN qlang USING (q_id) WHERE lang = 'zh' AND rank <= 20),
+routes AS (SELECT q_id, memory_id, rank, 'semantic' AS route FROM semk UNION ALL SELECT q_id, memory_id, rank, 'entity' FROM er JOIN qlang USING (q_id) WHERE lang = 'zh' UNION ALL SELECT q_id, memory_id, rank, 'time' FROM tm UNION ALL SELECT q_id, memory_id, rank, 'lexical' FROM asked),
+piv AS (SELECT q_id, memory_id, min(rank) FILTER (route = 'semantic') AS semantic, min(rank) FILTER (route = 'entity') AS entity, min(rank) FILTER (route = 'time') AS time, min(rank) FILTER (route = 'lexical') AS lexical FROM routes GROUP BY q_id, memory_id),
+fused_s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + semantic), 0) + coalesce(1.0::DOUBLE / (60 + entity), 0) + coalesce(1.0::DOUBLE / (60 + time), 0) + coalesce(1.0::DOUBLE / (60 + lexical), 0) AS score FROM piv),
 fused AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, memory_id) AS rank FROM fused_s)"""
-ALL = f"{BASE}, {RAW}, {SEM}, {ENT}, {RRF}"
+ALL = f"{BASE}, {RAW}, {SEM}, {LANG}, {ENT}, {TIME}, {SUMMARY}, {RRF}"
 
 
 def _base(spark, sf_dir):
-    return V.query_batch(spark, sf_dir), V.doc_memories(spark, sf_dir)
+    return V.query_batch(spark, sf_dir), T.stored(spark, sf_dir, "memories", lambda: V.doc_memories(spark, sf_dir))
 
 
-def _fused(spark, sf_dir):
+def _index(spark, sf_dir, which="raw"):
+    """The stored index: postings in the order of their tokens, so that a query reads few of them."""
+    m = _base(spark, sf_dir)[1]
+    posts = T.stored(spark, sf_dir, f"posts-{which}", lambda: R.postings(m, which).repartition("token").sortWithinPartitions("token"))
+    return R.Index(posts, T.stored(spark, sf_dir, f"df-{which}", lambda: R.token_df(posts)), T.stored(spark, sf_dir, f"stats-{which}", lambda: R.doc_stats(posts)))
+
+
+def _vectors(spark, sf_dir):
+    return T.stored(spark, sf_dir, "vectors", lambda: R.vectors(_base(spark, sf_dir)[1]))
+
+
+def _lists(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    sem = R.semantic(q, m, R.ROUTE_TOP)
-    lists = {"semantic": sem, "entity": R.entity_route(R.entity_seeds(sem, m, q), m), "time": R.time_route(q, m, sem), "lexical": R.bm25(q, m, "raw", R.ROUTE_TOP)}
-    return q, m, R.rrf(lists)
+    return q, m, R.route_lists(q, m, _vectors(spark, sf_dir), {i: _index(spark, sf_dir, i) for i in ("raw", "summary")})
+
+
+def _fused(spark, sf_dir):
+    """(queries, memories, fused lists); the fused lists are a table, as all that follows reads them more than once."""
+    q, m, lists = _lists(spark, sf_dir)
+    return q, m, T.written(R.rrf(lists), "fused")
 
 
 def r6(c):
@@ -126,25 +149,25 @@ def index_counts(spark, sf_dir):
 @query(f"{BASE}, {RAW} SELECT q_id, token, pos, df, rare FROM lex_t")
 def expr_ladder(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.query_tokens(q, R.token_df(R.postings(m, "raw"))).select("q_id", "token", "pos", "df", "rare")
+    return R.query_tokens(q, _index(spark, sf_dir).df).select("q_id", "token", "pos", "df", "rare")
 
 
 @query(f"{BASE}, {RAW} SELECT q_id, memory_id, rung, round(score, 6) AS score, rank FROM lex WHERE rank <= 20")
 def bm25_search_raw(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.bm25(q, m, "raw", 20).select("q_id", "memory_id", "rung", r6("score"), "rank")
+    return R.bm25(q, _index(spark, sf_dir), "raw", 20).select("q_id", "memory_id", "rung", r6("score"), "rank")
 
 
 @query(f"{BASE}, {SUMMARY_POSTS}, {tokens_sql('qt0', 'queries', 'query')}, qs AS (SELECT q_id, user_id, list_filter(summary_tokens, lambda x, i: list_position(summary_tokens, x) = i) AS tokens FROM qt0), {bm25_sql('lex', 'qs', 'sposts', 'sdfs', 'sstats')} SELECT q_id, memory_id, rung, round(score, 6) AS score, rank FROM lex WHERE rank <= 20")
 def bm25_search(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.bm25(q, m, "summary", 20).select("q_id", "memory_id", "rung", r6("score"), "rank")
+    return R.bm25(q, _index(spark, sf_dir, "summary"), "summary", 20).select("q_id", "memory_id", "rung", r6("score"), "rank")
 
 
-@query(f"{BASE}, {RAW} SELECT q_id, memory_id, rank FROM lex WHERE rank <= 20")
+@query(f"{ALL} SELECT q_id, memory_id, rank FROM asked")
 def lexical_route(spark, sf_dir):
-    q, m = _base(spark, sf_dir)
-    return R.bm25(q, m, "raw", 20).select("q_id", "memory_id", "rank")
+    """Each query's hits in the index that its language asks."""
+    return _lists(spark, sf_dir)[2]["lexical"].select("q_id", "memory_id", "rank")
 
 
 @query(f"""{BASE}, {POSTS}, two AS (SELECT memory_id AS q_id, user_id, list(token ORDER BY df, pos)[1:2] AS tokens FROM (SELECT memory_id, user_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM dt) JOIN dfs USING (token) GROUP BY memory_id, user_id),
@@ -156,7 +179,7 @@ def self_retrieval(spark, sf_dir):
     pos = m.select("memory_id", F.posexplode(X.raw_tokens(F.col("content"))).alias("pos", "token"))
     two = posts.join(R.token_df(posts), "token").join(pos, ["memory_id", "token"]).groupBy("memory_id", "user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "pos", "token"))), 1, 2)["token"].alias("t"))
     q = two.select(F.col("memory_id").alias("q_id"), "user_id", F.array_join("t", " ").alias("query"))
-    found = R.bm25(q, m, "raw").filter(F.col("q_id") == F.col("memory_id"))
+    found = R.bm25(q, _index(spark, sf_dir), "raw").filter(F.col("q_id") == F.col("memory_id"))
     return found.agg(F.count("*").alias("docs"), F.count(F.when(F.col("rank") <= 5, 1)).alias("found"))
 
 
@@ -181,19 +204,19 @@ def cosine(spark, sf_dir):
 @query(f"{BASE}, {SEM} SELECT q_id, memory_id, round(sim, 6) AS sim, round(score, 6) AS score, rank FROM sem WHERE rank <= 20")
 def phase2_rank(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.semantic(q, m, 20).select("q_id", "memory_id", r6("sim"), r6("score"), "rank")
+    return R.semantic(q, _vectors(spark, sf_dir), 20).select("q_id", "memory_id", r6("sim"), r6("score"), "rank")
 
 
 @query(f"{BASE}, {SEM} SELECT q_id, memory_id, NOT any_good AS kept_all FROM (SELECT *, max(sim >= 0.15) OVER (PARTITION BY q_id) AS any_good FROM sem) WHERE sim >= 0.15 OR NOT any_good")
 def sim_threshold(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.above(R.semantic(q, m)).select("q_id", "memory_id", "kept_all")
+    return R.above(R.semantic(q, _vectors(spark, sf_dir))).select("q_id", "memory_id", "kept_all")
 
 
 @query(f"{BASE}, {SEM} SELECT q_id, count(*) AS n, round(max(sim), 6) AS best FROM sem GROUP BY q_id")
 def query_x_mem(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.semantic(q, m).groupBy("q_id").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("best"))
+    return R.semantic(q, _vectors(spark, sf_dir)).groupBy("q_id").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("best"))
 
 
 @query(f"{BASE}, {IDF} SELECT user_id, entity, df, round(idf, 6) AS idf FROM idf")
@@ -204,20 +227,20 @@ def entity_df_idf(spark, sf_dir):
 @query(f"{BASE}, {SEM}, {ENT} SELECT q_id, user_id, entity FROM seeds")
 def seed_union(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.entity_seeds(R.semantic(q, m, R.SEEDS), m, q)
+    return R.entity_seeds(R.semantic_kept(q, _vectors(spark, sf_dir)), m, q)
 
 
 @query(f"{BASE}, {SEM}, {ENT} SELECT DISTINCT q_id, memory_id FROM seeds JOIN ent USING (user_id, entity)")
 def reach(spark, sf_dir):
     q, m = _base(spark, sf_dir)
     e = m.select("user_id", "memory_id", F.explode("core_entities").alias("entity"))
-    return R.entity_seeds(R.semantic(q, m, R.SEEDS), m, q).join(e, ["user_id", "entity"]).select("q_id", "memory_id").distinct()
+    return R.entity_seeds(R.semantic_kept(q, _vectors(spark, sf_dir)), m, q).join(e, ["user_id", "entity"]).select("q_id", "memory_id").distinct()
 
 
 @query(f"{BASE}, {SEM}, {ENT} SELECT q_id, memory_id, hits, round(score, 6) AS score, rank FROM er")
 def entity_route(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.entity_route(R.entity_seeds(R.semantic(q, m, R.SEEDS), m, q), m).select("q_id", "memory_id", "hits", r6("score"), "rank")
+    return R.entity_route(R.entity_seeds(R.semantic_kept(q, _vectors(spark, sf_dir)), m, q), m).select("q_id", "memory_id", "hits", r6("score"), "rank")
 
 
 _TIMES = ["What happened on 7 May 2023?", "Anything in March 2023", "the notes of 2023-04", "what about last week", "2 months ago", "in October"]
@@ -234,10 +257,10 @@ def time_route(spark, sf_dir):
     return R.time_route(q, m, none)
 
 
-@query(f"{ALL} SELECT q_id, memory_id, semantic, entity, lexical, round(score, 8) AS score, rank FROM fused")
+@query(f"{ALL} SELECT q_id, memory_id, semantic, entity, time, lexical, round(score, 8) AS score, rank FROM fused")
 def rrf(spark, sf_dir):
     _, _, fused = _fused(spark, sf_dir)
-    return fused.select("q_id", "memory_id", "semantic", "entity", "lexical", F.round("score", 8).alias("score"), "rank")
+    return fused.select("q_id", "memory_id", "semantic", "entity", "time", "lexical", F.round("score", 8).alias("score"), "rank")
 
 
 @query(f"{ALL} SELECT q_id, memory_id, rank FROM fused WHERE rank <= 30")
@@ -249,20 +272,20 @@ def fuse_routes(spark, sf_dir):
 @query(f"{ALL} SELECT f.q_id, f.memory_id, coalesce(round(l.score, 6), 0) AS lexical_score FROM fused f LEFT JOIN lex l USING (q_id, memory_id)")
 def join_materialise(spark, sf_dir):
     q, m, fused = _fused(spark, sf_dir)
-    lex = R.bm25(q, m, "raw").select("q_id", "memory_id", F.round("score", 6).alias("s"))
+    lex = R.bm25(q, _index(spark, sf_dir), "raw").select("q_id", "memory_id", F.round("score", 6).alias("s"))
     return fused.select("q_id", "memory_id").join(lex, ["q_id", "memory_id"], "left").select("q_id", "memory_id", F.coalesce("s", F.lit(0.0)).alias("lexical_score"))
 
 
 @query(f"{ALL} SELECT q_id, memory_id FROM sem WHERE rank <= 50 UNION SELECT q_id, memory_id FROM lex WHERE rank <= 50")
 def cand_union(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.semantic(q, m, 50).select("q_id", "memory_id").unionByName(R.bm25(q, m, "raw", 50).select("q_id", "memory_id")).distinct()
+    return R.semantic(q, _vectors(spark, sf_dir), 50).select("q_id", "memory_id").unionByName(R.bm25(q, _index(spark, sf_dir), "raw", 50).select("q_id", "memory_id")).distinct()
 
 
 @query(f"{ALL} SELECT q_id, memory_id FROM lex l WHERE NOT EXISTS (FROM sem s WHERE s.q_id = l.q_id AND s.memory_id = l.memory_id AND s.rank <= 20)")
 def join_new_cands(spark, sf_dir):
     q, m = _base(spark, sf_dir)
-    return R.bm25(q, m, "raw").select("q_id", "memory_id").join(R.semantic(q, m, 20).select("q_id", "memory_id"), ["q_id", "memory_id"], "left_anti")
+    return R.bm25(q, _index(spark, sf_dir), "raw").select("q_id", "memory_id").join(R.semantic(q, _vectors(spark, sf_dir), 20).select("q_id", "memory_id"), ["q_id", "memory_id"], "left_anti")
 
 
 _OVERLAP = f"""{ALL}, {tokens_sql('dh', "(SELECT * EXCLUDE (content), substring(content, 1, 512) AS content FROM docs)", 'content')},
@@ -285,17 +308,21 @@ w AS (SELECT *, greatest(max(sim) OVER (PARTITION BY q_id) - min(sim) OVER (PART
 SELECT q_id, memory_id, place, round(span * (1 - place / size) + 0.1 * least(1.0, heat / 50) + 0.1 * least(1.0, count / 10), 6) AS final_score FROM w""")
 def rerank_blend(spark, sf_dir):
     q, m, fused = _fused(spark, sf_dir)
-    pool = R.overlap_scores(q, m, fused.filter("rank <= 12")).join(R.semantic(q, m).select("q_id", "memory_id", "sim", "heat", "count"), ["q_id", "memory_id"])
+    pool = R.overlap_scores(q, m, fused.filter("rank <= 12")).join(R.semantic(q, _vectors(spark, sf_dir)).select("q_id", "memory_id", "sim", "heat", "count"), ["q_id", "memory_id"])
     return R.rerank_blend(pool, 12).select("q_id", "memory_id", "place", r6("final_score"))
 
 
-_CLIP = f"""{_OVERLAP}, clip AS (FROM (SELECT q_id, memory_id, final_rank AS rank, sum(length(summary) / 2.5) OVER (PARTITION BY q_id ORDER BY final_rank) AS tokens FROM rr JOIN docs USING (memory_id)) WHERE tokens <= 5000 AND rank <= 10)"""
+_WANTED = "greatest(1, least(coalesce(nullif(top_k, 0), 30), 100))"
+_CLIP = f"""{_OVERLAP}, clip AS (FROM (SELECT q_id, memory_id, rr.final_rank AS rank, fused.score, {_WANTED} AS wanted, sum(length(summary) / 2.5) OVER (PARTITION BY q_id ORDER BY rr.final_rank) AS tokens FROM rr JOIN fused USING (q_id, memory_id) JOIN docs USING (memory_id) JOIN queries USING (q_id)) WHERE tokens <= 5000 AND rank <= wanted)"""
 
 
 def _clipped(spark, sf_dir):
-    q, m, reranked = _reranked(spark, sf_dir)
-    rows = reranked.select("q_id", "memory_id", F.col("final_rank").alias("rank")).join(m.select("memory_id", "summary"), "memory_id")
-    return q, m, R.budget_clip(rows)
+    """(queries, memories, hits): the reranked hits within the budget and the query's top_k, with their fusion scores."""
+    q, m, fused = _fused(spark, sf_dir)
+    reranked = R.rerank(R.overlap_scores(q, m, fused)).join(fused.select("q_id", "memory_id", "score"), ["q_id", "memory_id"])
+    rows = reranked.select("q_id", "memory_id", F.col("final_rank").alias("rank"), "score").join(m.select("memory_id", "summary"), "memory_id")
+    rows = rows.join(q.select("q_id", V.items_wanted(F.col("top_k")).alias("wanted")), "q_id")
+    return q, m, T.written(R.budget_clip(rows, max_items=F.col("wanted")), "hits")
 
 
 @query(f"{_CLIP} SELECT q_id, memory_id, rank, round(tokens, 4) AS tokens FROM clip")
@@ -324,46 +351,97 @@ def expand_hits(spark, sf_dir):
     return R.expand_hits(hits, m)
 
 
-_PAYLOAD = """rank, memory_id AS id, '[' || strftime(source_date, '%Y-%m-%d') || '] ' || summary AS content, CASE WHEN instr(summary, ': ') > 0 THEN substring(summary, instr(summary, ': ') + 2) ELSE summary END AS text,
-CASE WHEN instr(summary, ': ') > 0 THEN substring(summary, 1, instr(summary, ': ') - 1) ELSE '' END AS role, session_id, user_id, created_at"""
+_PAYLOAD = """memory_id AS id, '[' || strftime(docs.source_date, '%Y-%m-%d') || '] ' || summary AS content, CASE WHEN instr(summary, ': ') > 0 THEN substring(summary, instr(summary, ': ') + 2) ELSE summary END AS text,
+CASE WHEN instr(summary, ': ') > 0 THEN substring(summary, 1, instr(summary, ': ') - 1) ELSE '' END AS role, CASE WHEN instr(summary, ': ') > 1 THEN substring(summary, 1, instr(summary, ': ') - 1) END AS speaker,
+session_id, docs.user_id, docs.created_at, strftime(docs.source_date, '%Y-%m-%d') AS source_date, round(score, 8) AS score"""
+_RECENT_SQL = "regexp_matches(regexp_replace(query, '[\\x{0080}-\\x{2FFF}]', '_', 'g'), '(?i)\\b(latest|most recent|recently|these days|right now|currently|nowadays|last time|as of now)\\b|最新|最近的|最近|目前|现在|当下|上次|这一次|当前')"
+
+
+def _blend_sql(rows: str) -> str:
+    """final_rank of rows (q_id, memory_id, rank, score)."""
+    return f"""ts AS (SELECT r.*, {_RECENT_SQL} AS recent, epoch(docs.created_at::TIMESTAMPTZ) AS ts FROM {rows} r JOIN docs USING (memory_id) JOIN queries USING (q_id)),
+w AS (SELECT *, count(*) OVER (PARTITION BY q_id) AS n, min(ts) OVER (PARTITION BY q_id) AS lo, max(ts) OVER (PARTITION BY q_id) AS hi FROM ts),
+b AS (SELECT *, CASE WHEN recent AND n >= 2 THEN 0.8::DOUBLE * (n - rank + 1) / n + 0.2::DOUBLE * CASE WHEN hi > lo THEN (ts - lo) / (hi - lo) ELSE 0 END END AS blend FROM w),
+told AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(blend, 9) DESC NULLS LAST, rank) AS final_rank FROM b)"""
+
+
+_FINAL = f"""last AS (SELECT q_id, e.memory_id, e.rank, clip.score FROM full_list e JOIN queries USING (q_id) LEFT JOIN clip USING (q_id, memory_id) WHERE e.rank <= {_WANTED})"""
 
 
-@query(f"{_CLIP} SELECT q_id, {_PAYLOAD} FROM clip JOIN docs USING (memory_id)")
+def _delivered(rows, q, m):
+    """Rows (q_id, memory_id, rank, score) in their last order, as payload."""
+    rows = rows.join(m.select("memory_id", "created_at"), "memory_id").join(q.select("q_id", "query"), "q_id")
+    return R.payload(R.recency_blend(rows).select("q_id", "memory_id", F.col("final_rank").alias("rank"), "score"), m)
+
+
+@query(f"{_CLIP}, {_blend_sql('clip')} SELECT q_id, final_rank AS rank, {_PAYLOAD} FROM told JOIN docs USING (memory_id)")
 def search_api(spark, sf_dir):
-    """Search with the shipped options: four routes, rerank, budget, no expansion."""
-    _, m, hits = _clipped(spark, sf_dir)
-    return R.payload(hits.select("q_id", "memory_id", "rank"), m)
+    """Search with the shipped options: routes by language, threshold, fusion, rerank, budget, top_k, recency; no expansion."""
+    q, m, hits = _clipped(spark, sf_dir)
+    return _delivered(hits.select("q_id", "memory_id", "rank", "score"), q, m)
 
 
-@query(f"{_EXPAND} SELECT q_id, {_PAYLOAD} FROM full_list JOIN docs USING (memory_id)")
+@query(f"{_EXPAND}, {_FINAL}, {_blend_sql('last')} SELECT q_id, final_rank AS rank, {_PAYLOAD} FROM told JOIN docs USING (memory_id)")
 def retrieve_e2e(spark, sf_dir):
-    """Search with neighbours of two turns on either side."""
-    _, m, hits = _clipped(spark, sf_dir)
-    return R.payload(R.expand_hits(hits, m).select("q_id", "memory_id", "rank"), m)
+    """Search with neighbours of two turns on either side, cut to top_k as the last step."""
+    q, m, hits = _clipped(spark, sf_dir)
+    rows = R.expand_hits(hits, m).join(hits.select("q_id", "memory_id", "score"), ["q_id", "memory_id"], "left")
+    wanted = q.select("q_id", V.items_wanted(F.col("top_k")).alias("wanted"))
+    return _delivered(rows.join(wanted, "q_id").filter("rank <= wanted").select("q_id", "memory_id", "rank", "score"), q, m)
 
 
-SQL["to_payload"] = SQL["search_api"]
-QUERIES["to_payload"] = search_api
+@query(f"""{BASE}, rows AS (SELECT 0 AS q_id, 0 AS rank, memory_id, CASE WHEN seq % 2 = 0 THEN 0.5::DOUBLE END AS score FROM docs)
+SELECT q_id, rank, {_PAYLOAD} FROM rows JOIN docs USING (memory_id)""")
+def to_payload(spark, sf_dir):
+    """The payload of every memory; only every other one has a score."""
+    m = _base(spark, sf_dir)[1]
+    ids = m.select("memory_id", F.when(F.col("seq") % 2 == 0, 0.5).alias("score"))
+    return R.payload(ids.withColumns({"q_id": F.lit(0), "rank": F.lit(0)}), m)
 
 
-@query(f"""{_CLIP}, ts AS (SELECT q_id, memory_id, rank, epoch(created_at::TIMESTAMPTZ) AS ts FROM clip JOIN docs USING (memory_id)),
-w AS (SELECT *, count(*) OVER (PARTITION BY q_id) AS n, min(ts) OVER (PARTITION BY q_id) AS lo, max(ts) OVER (PARTITION BY q_id) AS hi FROM ts),
-b AS (SELECT q_id, memory_id, rank, CASE WHEN n >= 2 THEN 0.8::DOUBLE * (n - rank + 1) / n + 0.2::DOUBLE * CASE WHEN hi > lo THEN (ts - lo) / (hi - lo) ELSE 0 END END AS blend FROM w)
-SELECT q_id, memory_id, round(blend, 6) AS blend, row_number() OVER (PARTITION BY q_id ORDER BY round(blend, 9) DESC NULLS LAST, rank) AS final_rank FROM b""")
+@query(f"""{_CLIP}, {_blend_sql('clip')} SELECT q_id, memory_id, recent, round(blend, 6) AS blend, final_rank FROM told""")
 def recency_blend(spark, sf_dir):
     q, m, hits = _clipped(spark, sf_dir)
-    rows = hits.select("q_id", "memory_id", "rank").join(m.select("memory_id", "created_at"), "memory_id").withColumn("query", F.lit("the latest notes"))
-    return R.recency_blend(rows).select("q_id", "memory_id", r6("blend"), "final_rank")
+    rows = hits.select("q_id", "memory_id", "rank").join(m.select("memory_id", "created_at"), "memory_id").join(q.select("q_id", "query"), "q_id")
+    return R.recency_blend(rows).select("q_id", "memory_id", X.is_recent(F.col("query")).alias("recent"), r6("blend"), "final_rank")
+
 
+GOLD = "gold AS (SELECT DISTINCT user_id, session_id FROM docs JOIN labels ON docs.seq = labels.doc_id WHERE quality = 1)"
 
-@query(f"{BASE}, {RAW} SELECT count(*) AS pairs, count(rank) AS found FROM (SELECT b.item_id AS q_id, memory_id FROM benchmark b JOIN docs ON contains(content, b.text) AND user_id = 'src' || (b.item_id % 20)) g LEFT JOIN (FROM lex WHERE rank <= 10) USING (q_id, memory_id)")
+
+def _gold(spark, sf_dir):
+    """Sessions that hold a good document, as the ones a question should be answered from."""
+    good = V.table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("seq"))
+    return _base(spark, sf_dir)[1].join(good, "seq", "left_semi").select("user_id", "session_id").distinct()
+
+
+@query(f"{ALL}, {GOLD} SELECT f.q_id, f.memory_id FROM fused f JOIN docs USING (memory_id) WHERE f.rank <= 30 AND EXISTS (FROM gold WHERE gold.user_id = docs.user_id AND gold.session_id = docs.session_id)")
+def gold_semi(spark, sf_dir):
+    """Candidates from a gold session."""
+    _, m, fused = _fused(spark, sf_dir)
+    rows = fused.filter("rank <= 30").select("q_id", "memory_id").join(m.select("memory_id", "user_id", "session_id"), "memory_id")
+    return rows.join(_gold(spark, sf_dir), ["user_id", "session_id"], "left_semi").select("q_id", "memory_id")
+
+
+@query(f"""{_CLIP}, {GOLD}, value AS (SELECT item_id AS q_id, lower(regexp_extract(text, '\\S+')) AS value FROM benchmark),
+per AS (SELECT q_id, count(*) AS items, sum(length(summary)) AS chars, bool_or(EXISTS (FROM gold WHERE gold.user_id = docs.user_id AND gold.session_id = docs.session_id)) AS hit, bool_or(contains(lower(content), value)) AS literal
+  FROM clip JOIN docs USING (memory_id) JOIN value USING (q_id) GROUP BY q_id),
+every AS (SELECT q_id, coalesce(items, 0) AS items, coalesce(chars, 0) AS chars, coalesce(hit, false) AS hit, coalesce(literal, false) AS literal FROM queries LEFT JOIN per USING (q_id))
+SELECT count(*) AS asked, round(avg(hit::INT), 6) AS gold_rate, round(avg(literal::INT), 6) AS literal_rate, count(*) FILTER (hit AND NOT literal) AS calc, count(*) FILTER (NOT hit AND NOT literal) AS missed, median(chars) AS median_chars, median(items) AS median_items FROM every""")
 def recall_audit(spark, sf_dir):
-    """Documents of the asked user that hold the whole passage, and how many the first ten hits contain."""
-    q, m = _base(spark, sf_dir)
-    items = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), "text").join(q.select("q_id", "user_id"), "q_id")
-    gold = items.join(m.select("user_id", "memory_id", "content"), "user_id").filter(F.contains("content", "text")).select("q_id", "memory_id")
-    hits = R.bm25(q, m, "raw", 10).select("q_id", "memory_id", "rank")
-    return gold.join(hits, ["q_id", "memory_id"], "left").agg(F.count("*").alias("pairs"), F.count("rank").alias("found"))
+    """What was delivered, against the gold sessions and a word that the answer must hold: literal, to be worked out, or missed."""
+    q, m, hits = _clipped(spark, sf_dir)
+    value = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.lower(F.regexp_extract("text", "\\S+", 0)).alias("value"))
+    gold = _gold(spark, sf_dir).withColumn("gold", F.lit(True))
+    rows = hits.select("q_id", "memory_id").join(m.select("memory_id", "user_id", "session_id", "summary", "content"), "memory_id").join(gold, ["user_id", "session_id"], "left").join(value, "q_id")
+    per = rows.groupBy("q_id").agg(F.count("*").alias("items"), F.sum(F.length("summary")).alias("chars"), F.max(F.coalesce("gold", F.lit(False))).alias("hit"), F.max(F.contains(F.lower("content"), F.col("value"))).alias("literal"))
+    no = F.lit(False)
+    every = q.select("q_id").join(per, "q_id", "left").select(F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("hit", no).alias("hit"), F.coalesce("literal", no).alias("literal"))
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6).alias(f"{c}_rate")
+    return every.agg(
+        F.count("*").alias("asked"), rate("hit").alias("gold_rate"), rate("literal"), F.count(F.when(F.col("hit") & ~F.col("literal"), 1)).alias("calc"),
+        F.count(F.when(~F.col("hit") & ~F.col("literal"), 1)).alias("missed"), F.median("chars").alias("median_chars"), F.median("items").alias("median_items"),
+    )
 
 
 @query()

@@ -79,9 +79,16 @@ def entity_any(spark, sf_dir):
     return V.memories(spark, sf_dir).filter(S.has_any(F.col("core_entities"), ["The", "Les", "Des", "Ing"])).select("memory_id")
 
 
-@query(f"{MEM}, top AS (FROM memories ORDER BY heat DESC, created_at DESC, memory_id LIMIT 100) SELECT memory_id FROM top WHERE list_has_any(core_entities, ['The', 'Les', 'Des', 'Ing'])")
+@query(f"""{MEM}, h AS (SELECT * REPLACE ((seq % 7)::DOUBLE AS heat) FROM memories), q AS (SELECT 'u' || i AS user_id, i AS q_id, CASE WHEN i % 3 = 0 THEN []::VARCHAR[] ELSE ['The', 'Les', 'Des', 'Ing'] END AS wanted, n FROM range(0, 10) r(i), (VALUES (1000), (15)) v(n)),
+t AS (SELECT q_id, n, memory_id, wanted, core_entities, row_number() OVER (PARTITION BY q_id, n ORDER BY h.heat DESC, created_at DESC, memory_id) AS place FROM q JOIN h USING (user_id))
+SELECT q_id, n, memory_id FROM t WHERE place <= n AND (len(wanted) = 0 OR list_has_any(core_entities, wanted))""")
 def phase1(spark, sf_dir):
-    return S.phase1(V.memories(spark, sf_dir), ["The", "Les", "Des", "Ing"], 100).select("memory_id")
+    """The hottest rows of each of ten users, by the full limit and a small one; two of three ask for names."""
+    m = V.memories(spark, sf_dir).withColumn("heat", (F.col("seq") % 7).cast("double"))
+    some = F.array(*map(F.lit, ["The", "Les", "Des", "Ing"]))
+    q = spark.range(10).select(F.concat(F.lit("u"), "id").alias("user_id"), F.col("id").alias("q_id"), F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(some).alias("wanted"))
+    parts = [S.phase1(m, q, n).select("q_id", F.lit(n).alias("n"), "memory_id") for n in (1000, 15)]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"{MEM} SELECT m.memory_id, m.user_id FROM memories m JOIN (SELECT DISTINCT memory_id FROM memories WHERE role = 'system') USING (memory_id) WHERE user_id IN ('u1', 'u3')")
@@ -149,11 +156,10 @@ def layer_update(spark, sf_dir):
 @query("WITH s AS (SELECT *, row_number() OVER (ORDER BY value, event_id) AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT round(median(value), 6) AS p50, round(max(value) FILTER (r = greatest(0, floor(n * 0.95::DOUBLE) - 1) + 1), 6) AS p95 FROM s")
 def latency_pcts(spark, sf_dir):
     v = V.table(spark, sf_dir, "events").filter("value IS NOT NULL").select("value")
-    n = v.agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("p50"))
-    counts = v.groupBy("value").agg(F.count("*").alias("many"))
-    upto = counts.withColumn("upto", F.sum("many").over(Window.orderBy("value")))  # a row for each value
-    at = F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(0.95)) - 1)
-    return upto.crossJoin(F.broadcast(n)).filter(F.col("upto") > at).agg(F.round(F.first("p50"), 6).alias("p50"), F.round(F.min("value"), 6).alias("p95"))
+    at = v.agg(F.greatest(F.lit(0), F.floor(F.count("*") * F.lit(0.95)) - 1).alias("at"))
+    low, high = (v.agg(f((F.count("*") - 1) / 2).cast("long").alias("at")) for f in (F.floor, F.ceil))
+    p50 = S.at_place(v, "value", low).crossJoin(S.at_place(v, "value", high).withColumnRenamed("value", "other"))  # one row each
+    return p50.crossJoin(S.at_place(v, "value", at).withColumnRenamed("value", "p95")).select(F.round((F.col("value") + F.col("other")) / 2, 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("WITH g AS (SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1), s AS (SELECT *, n / sum(n) OVER () AS share FROM g) SELECT sum(n)::BIGINT AS n, round(max(share), 6) AS max_share, round(coalesce(max(share) FILTER (value = 'click'), 0), 6) AS fallback_share, max(share) <= 0.4 AND coalesce(max(share) FILTER (value = 'click'), 0) <= 0.1 AS ok FROM s")
@@ -291,9 +297,9 @@ def vec_cache_prune(spark, sf_dir):
     return S.vec_cache_prune(_cache(spark, sf_dir).select("key", "doc_id"), keep)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT len(embedding)) AS dims, max(len(embedding)) AS dim, sum(len(embedding) * 4)::BIGINT AS bytes FROM embeddings")
+@query("SELECT count(*) AS n, count(DISTINCT len(embedding)) AS dims, max(len(embedding)) AS dim, count(DISTINCT 'm' || (label % 3)) AS models, sum(len(embedding) * 4)::BIGINT AS bytes FROM embeddings")
 def vec_cache_stats(spark, sf_dir):
-    return V.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.countDistinct(F.size("embedding")).alias("dims"), F.max(F.size("embedding")).alias("dim"), F.sum(F.size("embedding") * 4).alias("bytes"))
+    return V.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.countDistinct(F.size("embedding")).alias("dims"), F.max(F.size("embedding")).alias("dim"), F.countDistinct(F.concat(F.lit("m"), (F.col("label") % 3).cast("string"))).alias("models"), F.sum(F.size("embedding") * 4).alias("bytes"))
 
 
 @query("SELECT v.vec_id, d.doc_id IS NOT NULL AS found FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id")
@@ -302,54 +308,49 @@ def join_vec(spark, sf_dir):
     return V.table(spark, sf_dir, "embeddings").join(d, "vec_id", "left").select("vec_id", F.col("hit").isNotNull().alias("found"))
 
 
-_VAULT = [
-    ("2023-05-01", 1, '{"id": "a", "user": "hello", "assistant": "hi"}'),
-    ("2023-05-01", 2, ""),
-    ("2023-05-01", 3, "not json"),
-    ("2023-05-01", 4, "[1, 2]"),
-    ("2023-05-01", 5, '{"text": "no id"}'),
-    ("2023-05-01", 6, '{"entry_id": "b", "text": "plain"}'),
-    ("2023-05-02", 1, '{"id": "a", "summary": "short"}'),
-    ("2023-05-02", 2, '{"id": "a", "text": "later wins"}'),
-    ("2023-05-02", 3, '{"id": "c"}'),
-]
-_VAULT_SQL = "WITH v(date, line, entry) AS (VALUES " + ", ".join(f"('{d}', {n}, '{e}')" for d, n, e in _VAULT) + """),
+#: Vault lines of orders, by turns a bad line, an exchange, a text, a summary, no id, no object, and nothing but an id.
+_ENTRY = """CASE o_orderkey % 7 WHEN 0 THEN 'not json' WHEN 1 THEN '{"id": "k' || (o_orderkey % 50) || '", "user": "asked ' || o_custkey || '", "assistant": "said ' || o_orderpriority || '"}'
+  WHEN 2 THEN '{"entry_id": "k' || (o_orderkey % 50) || '", "text": "plain ' || o_custkey || '", "summary": "s"}' WHEN 3 THEN '{"id": "k' || (o_orderkey % 50) || '", "summary": "short ' || o_custkey || '"}'
+  WHEN 4 THEN '{"text": "no id"}' WHEN 5 THEN '[1, 2]' ELSE '{"id": "k' || (o_orderkey % 50) || '"}' END"""
+_VAULT_SQL = f"""WITH v AS (SELECT strftime(o_orderdate, '%Y-%m') || '-01' AS date, o_orderkey AS line, {_ENTRY} AS entry FROM orders),
 e AS (SELECT *, CASE WHEN json_valid(entry) AND json_type(entry) = 'OBJECT' THEN entry::JSON END AS j FROM v),
 f AS (SELECT date, line, coalesce(j->>'id', j->>'entry_id') AS eid, nullif(concat_ws(chr(10), nullif(j->>'user', ''), nullif(j->>'assistant', '')), '') AS orig, nullif(j->>'text', '') AS text, nullif(j->>'summary', '') AS summary FROM e),
 g AS (SELECT substring(md5(date || '#' || eid), 1, 12) AS memory_id, date, eid, line, coalesce(orig, text, summary, '') AS source_text, CASE WHEN orig IS NOT NULL THEN 'orig' WHEN text IS NOT NULL THEN 'text' WHEN summary IS NOT NULL THEN 'summary' ELSE 'none' END AS source FROM f WHERE eid IS NOT NULL)"""
 
 
-def _vault(spark):
-    return spark.createDataFrame(_VAULT, "date string, line int, entry string")
+def _vault(spark, sf_dir):
+    return V.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-01").alias("date"), F.col("o_orderkey").alias("line"), F.expr(_ENTRY).alias("entry"))
 
 
 @query(f"{_VAULT_SQL} FROM g QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY line DESC) = 1")
 def cold_day_index(spark, sf_dir):
-    return S.cold_index(_vault(spark))
+    return S.cold_index(_vault(spark, sf_dir))
 
 
-@query(f"{_VAULT_SQL} SELECT memory_id, source_text FROM g WHERE memory_id = substring(md5('2023-05-02#a'), 1, 12) ORDER BY line LIMIT 1")
+@query(f"{_VAULT_SQL} SELECT memory_id, date, line, source_text FROM g WHERE eid IN ('k1', 'k7', 'k13') QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY line) = 1")
 def cold_locate(spark, sf_dir):
-    lines = _vault(spark)
-    wanted = F.substring(F.md5(F.lit("2023-05-02#a")), 1, 12)
-    first = lines.withColumn("eid", F.coalesce(F.get_json_object("entry", "$.id"), F.get_json_object("entry", "$.entry_id"))).filter(F.substring(F.md5(F.concat_ws("#", "date", "eid")), 1, 12) == wanted).orderBy("line").limit(1)
-    return S.cold_index(first.drop("eid")).select("memory_id", "source_text")
+    """The first line of each wanted entry, day by day."""
+    lines = _vault(spark, sf_dir)
+    days = lines.select("date").distinct()
+    wanted = days.crossJoin(spark.createDataFrame([("k1",), ("k7",), ("k13",)], "eid string")).select(F.substring(F.md5(F.concat_ws("#", "date", "eid")), 1, 12).alias("memory_id"))
+    return S.cold_locate(lines, wanted).select("memory_id", "date", "line", "source_text")
 
 
 @query(f"{_VAULT_SQL} SELECT memory_id, source, count(*) AS n FROM g GROUP BY ALL")
 def source_text(spark, sf_dir):
     text, label = S.source_text("e")
     e = F.from_json("entry", "struct<id:string,entry_id:string,user:string,assistant:string,text:string,summary:string>")
-    rows = _vault(spark).withColumn("e", e).withColumn("eid", F.coalesce("e.id", "e.entry_id")).filter("eid IS NOT NULL")
+    rows = _vault(spark, sf_dir).withColumn("e", e).withColumn("eid", F.coalesce("e.id", "e.entry_id")).filter("eid IS NOT NULL")
     return rows.groupBy(F.substring(F.md5(F.concat_ws("#", "date", "eid")), 1, 12).alias("memory_id"), label.alias("source")).agg(F.count("*").alias("n"))
 
 
-@query(f"{_VAULT_SQL} SELECT count(*) AS scanned, (SELECT count(*) FROM g) AS rows, (SELECT count(*) FROM g WHERE source = 'none') AS no_text FROM v")
+@query(f"""{_VAULT_SQL}, o AS (SELECT count(*) FILTER (NOT json_valid(entry)) AS bad_lines, count(*) FILTER (json_valid(entry) AND j IS NULL) AS no_objects, count(*) AS scanned, count(DISTINCT date) AS days FROM e)
+SELECT scanned, (SELECT count(*) FROM g) AS rows, bad_lines, no_objects, (SELECT count(*) FROM f WHERE eid IS NULL) - bad_lines - no_objects AS no_ids,
+  (SELECT count(*) FROM g WHERE source = 'orig') AS orig, (SELECT count(*) FROM g WHERE source = 'text') AS text, (SELECT count(*) FROM g WHERE source = 'summary') AS summary, (SELECT count(*) FROM g WHERE source = 'none') AS no_text,
+  (SELECT count(DISTINCT memory_id) FROM g) AS ids, days FROM o""")
 def raw_rebuild_stats(spark, sf_dir):
-    _, label = S.source_text("e")
-    e = F.from_json("entry", "struct<id:string,entry_id:string,user:string,assistant:string,text:string,summary:string>")
-    rows = _vault(spark).withColumn("e", e).withColumn("eid", F.coalesce("e.id", "e.entry_id"))
-    return rows.agg(F.count("*").alias("scanned"), F.count("eid").alias("rows"), F.count(F.when(F.col("eid").isNotNull() & (label == "none"), 1)).alias("no_text"))
+    """What a rebuild from the vault scans, keeps and passes over, in one pass."""
+    return S.vault_stats(_vault(spark, sf_dir))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -414,13 +415,16 @@ def recent_query(spark, sf_dir):
     return _asked(spark).select("q_id", X.is_recent(F.col("q")).alias("recent"))
 
 
-_TIMED = [("7 May 2023", "2023-05-07", "2023-05-07", "day"), ("May 2023", "2023-05-01", "2023-05-31", "month"), ("2022", "2022-01-01", "2022-12-31", "year"), ("2023年5月8日", "2023-05-08", "2023-05-08", "day"), ("last week", "2023-05-01", "2023-05-07", "week"), ("in June", "2023-06-01", "2023-06-30", "month"), ("2023-13-45", "2023-01-01", "2023-12-31", "year"), ("2023-02-30", "2023-02-01", "2023-02-28", "month"), ("3 weeks ago", "2023-04-17", "2023-04-23", "week"), ("next year", "2024-01-01", "2024-12-31", "year"), ("上个月", "2023-04-01", "2023-04-30", "month"), ("nothing", None, None, None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (q, lo, hi, k)) + ")" for q, lo, hi, k in _TIMED) + ") v(q, lo, hi, kind)")
+@query("""WITH a AS (SELECT o_orderkey, o_orderkey % 6 AS turn, o_orderdate::DATE AS d FROM orders)
+SELECT o_orderkey, CASE turn WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN date_trunc('month', d)::DATE WHEN 3 THEN date_trunc('year', d)::DATE WHEN 4 THEN d END AS lo,
+  CASE turn WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN last_day(d) WHEN 3 THEN make_date(year(d), 12, 31) WHEN 4 THEN d END AS hi,
+  CASE turn WHEN 0 THEN 'day' WHEN 1 THEN 'day' WHEN 2 THEN 'month' WHEN 3 THEN 'year' WHEN 4 THEN 'day' END AS kind FROM a""")
 def parse_time(spark, sf_dir):
-    q = spark.createDataFrame([(t[0],) for t in _TIMED], "q string").withColumn("t", X.parse_time(F.col("q"), F.lit("2023-05-10").cast("date")))
-    return q.select("q", F.date_format("t.lo", "yyyy-MM-dd").alias("lo"), F.date_format("t.hi", "yyyy-MM-dd").alias("hi"), "t.kind")
+    """Dates in words inside a sentence, written in six ways, one of them none."""
+    turn, d = F.col("o_orderkey") % 6, F.to_date("o_orderdate")
+    said = F.when(turn == 0, F.date_format(d, "d MMMM yyyy")).when(turn == 1, F.date_format(d, "MMM d, yyyy")).when(turn == 2, F.date_format(d, "MMMM yyyy")).when(turn == 3, F.concat(F.lit("year "), F.year(d).cast("string"))).when(turn == 4, F.date_format(d, "yyyy'年'M'月'd'日'")).otherwise("nothing")
+    text = F.concat(F.lit("what was it about, "), said, F.lit("?"))
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", X.parse_time(text, F.lit("2023-05-10").cast("date")).alias("t")).select("o_orderkey", "t.lo", "t.hi", "t.kind")
 
 
 @query("SELECT o_orderkey, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS week, strftime(last_day(o_orderdate::DATE), '%Y-%m-%d') AS month_end, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS year FROM orders")
@@ -430,12 +434,14 @@ def month_span(spark, sf_dir):
     return o.select("o_orderkey", iso(F.trunc("d", "week")).alias("week"), iso(F.last_day("d")).alias("month_end"), iso(F.trunc("d", "year")).alias("year"))
 
 
-_REFS = ["paid $120.50 in 14 days", "about 14 or 17", "120 people came", "University Los Angeles", "30% of 2 weeks", "none"]
-
-
-@query("SELECT * FROM (VALUES (0, '$120.50|14 days'), (1, ''), (2, '120 people'), (3, 'university|angeles'), (4, '2 weeks'), (5, '')) v(n, key_values)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '$' || o_custkey || '|' || (o_orderkey % 90 + 1) || ' days' WHEN 1 THEN '' WHEN 2 THEN (100 + o_custkey) || ' people' ELSE rtrim('university|' || lower(regexp_extract(o_orderpriority, '[A-Z]{4,}')), '|') END AS key_values FROM orders""")
 def key_values(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(_REFS)), "n int, ref string").select("n", F.array_join(X.key_values(F.col("ref")), "|").alias("key_values"))
+    """Values of sentences with sums and times, small numbers alone, a count, and names."""
+    turn, text = F.col("o_orderkey") % 4, lambda c: F.col(c).cast("string")
+    name = F.initcap(F.regexp_extract("o_orderpriority", "[A-Z]{4,}", 0))
+    said = F.when(turn == 0, F.concat(F.lit("paid $"), text("o_custkey"), F.lit(" in "), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(" days")))
+    said = said.when(turn == 1, F.lit("about 14 or 17")).when(turn == 2, F.concat((F.col("o_custkey") + 100).cast("string"), F.lit(" people came"))).otherwise(F.concat(F.lit("University "), name))
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(X.key_values(said), "|").alias("key_values"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (role <> 'assistant') AS first_slot, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS second_slot FROM conversations GROUP BY conv_id")

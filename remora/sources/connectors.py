@@ -68,6 +68,26 @@ def score_pairs(df: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[fl
     return df.mapInPandas(run, "q_id long, memory_id string, score double")
 
 
+def read_vault(spark: SparkSession, path: str) -> DataFrame:
+    """(date, line, entry) of a vault: a file of JSON lines for each day, named by it; blank lines are left out."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "(\\d{4}-\\d{2}-\\d{2})", 1).alias("date"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "entry"))
+    return files.filter("date <> '' AND trim(entry) <> ''").select("date", (F.col("line") + 1).alias("line"), "entry")
+
+
+def scan_files(spark: SparkSession, path: str, forbidden: dict[str, str], most_bytes: int) -> DataFrame:
+    """(file, problem) of files that hold a forbidden pattern, by its name, or are too large."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    text = F.decode("content", "ISO-8859-1")
+    named = [F.when(F.col("length") > most_bytes, "size"), *[F.when(text.rlike(pattern), name) for name, pattern in forbidden.items()]]
+    return files.select(F.col("path").alias("file"), F.explode(F.array_compact(F.array(*named))).alias("problem"))
+
+
+def write_evaluation(answers: DataFrame, meta: dict, path: str) -> None:
+    """Answers as JSON lines, and one line about the run beside them."""
+    answers.write.mode("overwrite").json(f"{path}/answers")
+    answers.sparkSession.createDataFrame([{k: str(v) for k, v in meta.items()}]).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
 def log_errors(df: DataFrame, path: str) -> None:
     """Errors with their time `ts`, as JSON lines by day."""
     df.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)

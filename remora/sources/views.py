@@ -9,6 +9,8 @@ from ..functions import text as X
 
 #: Items a query may ask for at most.
 MOST = 100
+#: Items of a query that names no number.
+USUAL = 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,11 +85,22 @@ def doc_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What makes a question Chinese, dated, or one for the latest, by turns of the item's id.
+ASKED_CHINESE, ASKED_DATE, ASKED_LATEST = "请问关于这件事情的全部详细记录内容是什么呢" * 5, " in March 2023", "the latest "
+
+
 def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words of every benchmark item, asked by one user each."""
+    """Every benchmark item as a question of one user, with a top_k that may be missing, zero or too large."""
     b = table(spark, sf_dir, "benchmark")
-    words = F.slice(F.split(F.trim("text"), "\\s+"), 1, 12)
-    return b.select(F.col("item_id").alias("q_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"), F.array_join(words, " ").alias("query"), F.lit(10).alias("top_k"), F.lit("2023-06-15").cast("date").alias("anchor"))
+    turn, text = F.col("item_id") % 4, F.trim("text")
+    query = F.when(turn == 1, F.concat(F.lit(ASKED_CHINESE + " "), text)).when(turn == 2, F.concat(text, F.lit(ASKED_DATE))).when(turn == 3, F.concat(F.lit(ASKED_LATEST), text)).otherwise(text)
+    top_k = F.when(F.col("item_id") % 10 == 0, 9999).when(F.col("item_id") % 10 == 1, 0).when(F.col("item_id") % 10 == 2, None).otherwise((3 + F.col("item_id") % 9).cast("int"))
+    return b.select(F.col("item_id").alias("q_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"), query.alias("query"), top_k.alias("top_k"), F.lit("2023-06-15").cast("date").alias("anchor"))
+
+
+def items_wanted(top_k) -> object:
+    """30 where none are named, and 1 to MOST."""
+    return F.greatest(F.lit(1), F.least(F.coalesce(F.nullif(top_k, F.lit(0)), F.lit(USUAL)), F.lit(MOST)))
 
 
 _COLUMNS = """substring(md5(concat_ws('#', user_id, session_id, created_at, idx::VARCHAR, content)), 1, 12) AS memory_id, user_id, session_id,
@@ -110,5 +123,6 @@ MEMORIES = _sql("memories", """SELECT 'u' || (conv_id % 10) AS user_id, 's' || c
   TIMESTAMP '2023-01-01' + to_days((conv_id % 20000)::INT) + to_minutes(turn::BIGINT) AS created FROM conversations""")
 DOCS = _sql("docs", """SELECT source AS user_id, concat_ws('-', source, lang) AS session_id, 0 AS idx, doc_id AS seq, 'user' AS role, text AS content,
   TIMESTAMP '2023-01-01' + to_days((doc_id % 365)::INT) AS created FROM documents""")
-QUERIES = """queries AS (SELECT item_id AS q_id, 'src' || (item_id % 20) AS user_id,
-  array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:12], ' ') AS query, 10 AS top_k, DATE '2023-06-15' AS anchor FROM benchmark)"""
+QUERIES = f"""queries AS (SELECT item_id AS q_id, 'src' || (item_id % 20) AS user_id,
+  CASE item_id % 4 WHEN 1 THEN '{ASKED_CHINESE} ' || trim(text) WHEN 2 THEN trim(text) || '{ASKED_DATE}' WHEN 3 THEN '{ASKED_LATEST}' || trim(text) ELSE trim(text) END AS query,
+  CASE item_id % 10 WHEN 0 THEN 9999 WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE 3 + item_id % 9 END AS top_k, DATE '2023-06-15' AS anchor FROM benchmark)"""

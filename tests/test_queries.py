@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert got == sorted(tuple(plain(r[at[c]]) for c in columns) for r in found.fetchall())
 
 
-def test_entry_imports_without_the_corpus_operators(spark):
+def test_entry(spark):
     import __spark_entry__
 
     assert set(registry.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
