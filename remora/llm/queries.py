@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op01_suffix_dedup, op02_passages, op03_toxicity, op04_quality, op05_fertility, op06_near_dedup, op07_license_scan, op08_shards, op09_mixing
 from . import op10_decontaminate as op10
+from . import oracles
 from .common import table
 
 
@@ -57,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": op09_mixing.ORACLE}
+    return {"op1_suffix_dedup": oracles.OP1, "op6_near_dedup": oracles.OP6, "op9_mixing": op09_mixing.ORACLE, "op10_decontaminate": oracles.OP10}
