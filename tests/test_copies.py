@@ -25,7 +25,7 @@ def copies(sf, tmp_path_factory):
     return str(to), con
 
 
-@pytest.mark.parametrize("name", ["index_build", "bm25_search", "cross_lang_demo", "lexical_route"])
+@pytest.mark.parametrize("name", ["index_build", "bm25_search", "cross_lang_demo", "lexical_route", "index_counts"])
 def test_query_equals_sql_with_copies(spark, copies, name):
     folder, duck = copies
     df = registry.queries()[name](spark, folder)
