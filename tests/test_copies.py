@@ -25,7 +25,7 @@ def copies(sf, tmp_path_factory):
     return str(to), con
 
 
-@pytest.mark.parametrize("name", ["index_build", "bm25_search", "cross_lang_demo", "lexical_route", "index_counts", "join_raw_meta_mem", "seed_union", "reach", "entity_route", "rrf", "gold_semi", "budget_clip", "recency_blend", "search_api", "neighbours", "expand_hits", "retrieve_e2e"])
+@pytest.mark.parametrize("name", ["index_build", "bm25_search", "cross_lang_demo", "lexical_route", "index_counts", "join_raw_meta_mem", "seed_union", "reach", "entity_route", "rrf", "gold_semi", "budget_clip", "recency_blend", "search_api", "neighbours", "expand_hits", "retrieve_e2e", "delivery_size"])
 def test_query_equals_sql_with_copies(spark, copies, name):
     folder, duck = copies
     df = registry.queries()[name](spark, folder)
