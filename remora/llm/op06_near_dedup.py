@@ -13,7 +13,8 @@ signatures agree far too little, and the rest are verified by the exact Jaccard
 shingle sets. Equal texts are merged first, so a group of copies takes part once.
 
 All pairs of a small bucket are compared at once. In a large one, ordered by the next band, a document
-first meets the bucket's first and the next few, which joins most of what belongs together. Then
+first meets the bucket's first, and in one of its large buckets also the next few, which joins most of what
+belongs together. Then
 whatever the verified pairs have left apart is compared: every pair of a large bucket whose ends are not
 of one class yet, block by block. A pair within a class cannot change the classes, so they are
 those that all pairs of all buckets would give.
@@ -43,7 +44,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Pairs whose signatures agree in less than this share cannot reach SIMILARITY (over 4 standard deviations off).
 LOOSE = 0.58
-#: In a bucket's order, the first NEAR + 1 are paired with the next NEAR; those after them with the first of all and the next FEW, before the rest is compared.
+#: In a bucket's order, the first NEAR + 1 are paired with the next NEAR; those after them with the first of all, and in one bucket of theirs with the next FEW, before the rest is compared.
 NEAR = 15
 FEW = 4
 #: Texts, and their shingles, of a block that large buckets are compared by, on average; columns of a block's matrix.
@@ -244,6 +245,26 @@ def jaccard(n: int, least: float):
     return run
 
 
+def candidates(chosen: DataFrame, bucket_of, near: int = NEAR, few: int = FEW) -> DataFrame:
+    """(a, b): all pairs of small buckets; of large ones each row's with their firsts, and in one of them with the next few.
+
+    A row that shares all its bands with a large group so has one pair a bucket and `few` more, and not `few` more in each.
+    """
+    buckets = chosen.select("k", F.explode(bucket_of).alias("x")).select("k", "x.*")
+    order = Window.partitionBy("bucket").orderBy("next", "k")
+    ahead = F.collect_list("k").over(order.rowsBetween(1, near))
+    first = F.first("k").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # each of the bucket's first rows meets all of them, so a small bucket has all its pairs
+    place = F.row_number().over(order)
+    rows = buckets.select("k", "bucket", (place > near + 1).alias("late"), ahead.alias("ahead"), first.alias("first")).filter("first <> k OR size(ahead) > 0")
+    one = F.min(F.when(F.col("late") & (F.size("ahead") > 0), F.col("bucket"))).over(Window.partitionBy("k"))
+    rows = rows.withColumn("one", one)
+    ahead = F.when(~F.col("late"), F.col("ahead")).when(F.col("bucket") == F.col("one"), F.slice("ahead", 1, few)).otherwise(F.array().cast("array<bigint>"))
+    pairs = rows.select("k", ahead.alias("ahead"), "first")
+    pairs = pairs.select("k", F.explode(F.array_union("ahead", F.array("first"))).alias("o")).filter("k <> o")
+    return pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int = SHINGLE, similarity: float = SIMILARITY, near: int = NEAR, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """(_k, rep, root) of each row of keyed docs: the first row of its text, and of its class."""
     plain = docs.select("_k", "text")
@@ -254,16 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = K, band: int = BAND, shingle: int
     width, bands = 4 * band, k // band
     part = lambda i: F.xxhash64(F.lit(i % bands), F.substring("sig", (i % bands) * width + 1, width))
     bucket_of = F.array(*[F.struct(part(i).alias("bucket"), part(i + 1).alias("next")) for i in range(bands)])
-    buckets = chosen.select("k", F.explode(bucket_of).alias("x")).select("k", "x.*")
-    order = Window.partitionBy("bucket").orderBy("next", "k")
-    ahead = F.collect_list("k").over(order.rowsBetween(1, near))
-    first = F.first("k").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # each of the bucket's first rows meets all of them, so a small bucket has all its pairs
-    place = F.row_number().over(order)
-    ahead = F.when(place <= near + 1, ahead).otherwise(F.slice(ahead, 1, few))
-    pairs = buckets.select("k", ahead.alias("ahead"), first.alias("first"))
-    pairs = pairs.select("k", F.explode(F.array_union("ahead", F.array("first"))).alias("o")).filter("k <> o")
-    pairs = pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
+    pairs = candidates(chosen, bucket_of, near, few)
     sig = lambda end, name: chosen.select(F.col("k").alias(end), F.col("sig").alias(name))
     close = arrow_map(pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb"), agree(k, LOOSE * similarity / SIMILARITY), "a long, b long")
     texts = lambda end, name: plain.select(F.col("_k").alias(end), F.col("text").alias(name))

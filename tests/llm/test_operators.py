@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from remora.llm import op01_suffix_dedup as op1
 from remora.llm import op02_passages as op2
 from remora.llm import op03_toxicity as op3
@@ -312,6 +314,24 @@ def test_op6_large_buckets_equal_brute_force(spark):
     assert got == {k: find(k) for k in sets}
 
 
+def test_op6_rows_of_a_large_group_have_few_candidates(spark):
+    """A group that shares all its bands: one pair a band and FEW more for each row, and one class in the end."""
+    rng = random.Random(6)
+    base = [str(rng.random())[2:8] for _ in range(800)]
+    rows = []
+    for i in range(600):
+        t = list(base)
+        t[rng.randrange(800)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed = op6.arrow_map(docs, op6.emit_signatures(op6.K, op6.SHINGLE), op6.SIGNATURES)
+    part = lambda i: F.xxhash64(F.lit(i % 16), F.substring("sig", (i % 16) * 16 + 1, 16))
+    buckets = F.array(*[F.struct(part(i).alias("bucket"), part(i + 1).alias("next")) for i in range(16)])
+    small = (op6.NEAR + 1) * (op6.NEAR + 1)
+    assert op6.candidates(signed.select("k", "sig"), buckets).count() <= 600 * (16 + op6.FEW) + 16 * small
+    assert {r.class_id for r in op6.classify(docs).collect()} == {0}
+
+
 def test_op6_repeats_inside_a_text_do_not_part_it_from_its_set(spark):
     rng = random.Random(11)
     rows, want = [], {}
