@@ -201,6 +201,7 @@ def sort_windows(depth: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        waiting = 0  # windows in held
 
         def merged(parts: list[tuple]) -> tuple:
             return tuple(np.concatenate([x[i] for x in parts]) for i in range(3)) + ([x[3] for x in parts], np.concatenate([x[4] for x in parts]))
@@ -222,15 +223,16 @@ def sort_windows(depth: int):
             # rows come sorted by group; cut where a group ends and enough windows stand before it
             done = np.cumsum(size - depth + 1)
             ends = np.flatnonzero(g[1:] != g[:-1]) + 1
+            stand = done[ends - 1]
             i = 0
-            for j in ends:
-                if (done[j - 1] - (done[i - 1] if i else 0)) + sum(int((x[4] - depth + 1).sum()) for x in held) < SORT_WINDOWS:
-                    continue
+            while (at := int(np.searchsorted(stand, SORT_WINDOWS - waiting + (done[i - 1] if i else 0)))) < len(ends):
+                j = int(ends[at])
                 held.append((g[i:j], k[i:j], start[i:j], data[offsets[i] : offsets[j]], size[i:j]))
                 yield settle(*merged(held))
-                held, i = [], j
+                held, waiting, i = [], 0, j
             if i < len(g):
                 held.append((g[i:], k[i:], start[i:], data[offsets[i] : offsets[-1]], size[i:]))
+                waiting += int(done[-1] - (done[i - 1] if i else 0))
         if held:
             yield settle(*merged(held))
 
@@ -278,15 +280,15 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, hot_ru
     ordered = Window.partitionBy("g", "h").orderBy("k", "p")
     digit = Window.partitionBy("g")
     ranked = runs.select("g", "h", "k", "p", F.row_number().over(ordered).alias("rank"))
-    ranked = ranked.select("*", F.min("h").over(digit).alias("low"), F.max("h").over(digit).alias("high"), F.count("*").over(digit).alias("many"))
+    ranked = ranked.select("*", F.min("h").over(digit).alias("low"), F.max("h").over(digit).alias("high"), F.count_if(F.col("rank") == 1).over(digit).alias("many"))
     again = (F.col("p") < 0) | (F.col("rank") > 1)
     settled = written(
         ranked.filter(again | (F.col("low") != F.col("high"))).select("k", F.abs("p").alias("p"), F.when(again, None).otherwise(F.col("g")).alias("g"), (F.col("many") > hot_runs).alias("hot")),
         "runs",
     )
-    # both joins below read the same exchange of the texts by their key
+    # both joins below read the same exchange of the texts by their key; an inner join asks for keys without nulls, so both do
     unsettled = settled.filter("g IS NOT NULL").groupBy("k").agg(F.collect_list(F.struct("p", "g", "hot")).alias("runs"))
-    texts = plain.withColumnRenamed("_k", "id")
+    texts = plain.withColumnRenamed("_k", "id").filter("id IS NOT NULL")
     pieces = arrow_map(texts.join(unsettled, F.col("id") == F.col("k")).select("id", "text", "runs"), cut_pieces(depth), PIECES)
     sorted_out = arrow_map(pieces.repartition("g").sortWithinPartitions("g"), sort_windows(depth), SPANS)
     whole = settled.filter("g IS NULL").select("k", F.shiftright("p", 8).alias("start"), F.col("p").bitwiseAND(F.lit(255)).alias("n"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -94,6 +95,65 @@ def test_op1_keeps_runs_apart_whose_hashes_share_their_upper_half(monkeypatch):
     assert set(first) == {0, 1} and first[0] != first[1]
 
 
+def single_windows(n, size, rng):
+    """Batches of pieces of one window each, in the order of their groups; a twelfth of the windows stand twice."""
+    bodies = [bytes(rng.randrange(97, 123) for _ in range(100)) for _ in range(n)]
+    rows = sorted([(i, i, 0, b) for i, b in enumerate(bodies)] + [(i, n + i, 5, bodies[i]) for i in range(0, n, 12)])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    columns = [pa.array(c, type=kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["g", "k", "start", "body"]), [slice(i, i + size) for i in range(0, len(rows), size)]
+
+
+def test_op1_looks_for_a_place_to_cut_once_a_batch(spark, monkeypatch):
+    n, size = 12_000, 500
+    run = op1.sort_windows(100)
+    whole, parts = single_windows(n, size, random.Random(3))
+    batches = [whole.slice(p.start, size) for p in parts]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    for most in (150_000, 700):
+        monkeypatch.setattr(op1, "SORT_WINDOWS", most)
+        calls = 0
+        sys.setprofile(count)
+        try:
+            out = list(run(iter(batches)))
+        finally:
+            sys.setprofile(None)
+        got = sorted((r["k"], r["start"], r["n"]) for b in out for r in b.to_pylist())
+        assert got == [(n + i, 5, 1) for i in range(0, n, 12)]
+        assert len(out) == 1 if most > n + n // 12 else len(out) > 10
+        assert calls < n, calls
+
+
+def test_op1_splits_a_digit_by_its_different_runs_not_by_its_copies(spark, monkeypatch):
+    rng = random.Random(4)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    other = a[:150] + "#" + a[151:]
+    kept = []
+    monkeypatch.setattr(op1, "written", lambda df, name: kept.append(df.cache()) or kept[-1])
+    df = spark.createDataFrame([(i, a) for i in range(8)] + [(8, other)], "doc_id long, text string").repartition(9, "doc_id")
+    assert op1.remove_repeats(df, hot_runs=4).count() == 9
+    found = kept[0].filter("g IS NOT NULL").collect()
+    assert found and not any(r.hot for r in found)
+
+
+def test_op1_deals_its_texts_out_once(spark):
+    rng = random.Random(5)
+    text = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(4)]
+    df = spark.createDataFrame([(i, text[i % 4][i:]) for i in range(40)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = op1.remove_repeats(df)
+        assert len(out.collect()) == 40
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_op2_finds_every_repeated_run_of_50_words(docs):
     rows, df = docs
     seen, want = {}, set()
